@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import boilerplate, leaks, normal, tokens
+from . import boilerplate, leaks, normal, scans, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,15 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "evidence"), "evidence_id", "source_id", "text", date="extracted_at", by_text=True, min_dates=3)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scans(table(spark, d, "evidence"), table(spark, d, "page_line")).noise()
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous paragraphs of every page and block."""
+    return scans.Scans(table(spark, d, "evidence"), table(spark, d, "page_line")).repaired()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -54,7 +63,7 @@ def p9_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_normal, p2_found, p2_clean, p2_clusters, p8_ids, p9_found, p9_near)}
+    return {f.__name__: f for f in (p1_found, p1_normal, p2_found, p2_clean, p2_clusters, p7_found, p7_paragraphs, p8_ids, p9_found, p9_near)}
 
 
 def oracle_sql() -> dict[str, str]:
