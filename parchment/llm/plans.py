@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import boilerplate, leaks, normal, scans, tokens
+from . import boilerplate, leaks, normal, scans, subjects, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +62,21 @@ def p9_near(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def _subjects(spark: SparkSession, d: str) -> subjects.Subjects:
+    return subjects.Subjects(table(spark, d, "documents"), table(spark, d, "document_label"), table(spark, d, "subject_area"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).documents().select(F.col("doc").alias("doc_id"), "subject_key")
+
+
+def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject."""
+    return _subjects(spark, d).makeup()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_normal, p2_found, p2_clean, p2_clusters, p7_found, p7_paragraphs, p8_ids, p9_found, p9_near)}
+    return {f.__name__: f for f in (p1_found, p1_normal, p2_found, p2_clean, p2_clusters, p7_found, p7_paragraphs, p8_ids, p9_found, p9_near, p10_found, p10_makeup)}
 
 
 def oracle_sql() -> dict[str, str]:
