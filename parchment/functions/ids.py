@@ -11,9 +11,9 @@ def text_sha256(c: Column) -> Column:
 
 def json_text(c: Column) -> Column:
     """A string as a JSON literal; null as null. Quotes, backslashes and control characters are escaped."""
-    body = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
-    for raw, esc in (("\n", "n"), ("\r", "r"), ("\t", "t")):
-        body = F.regexp_replace(body, raw, rf"\\\\{esc}")
+    body = c
+    for raw, esc in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(raw), F.lit(esc))
     return F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), body, F.lit('"')))
 
 

@@ -56,7 +56,9 @@ def visit(text: str) -> Iterator[tuple[str, str, str, int, int, str]]:
             yield "node", key, parent, ordinal, depth, _flat(node)
             stack += [(c, key, i, depth + 1) for i, c in reversed([*enumerate(_listed(node.get("children")))])]
         return
-    cases = _listed(value.get("conditions") if isinstance(value, dict) and "conditions" in value else value)
+    if isinstance(value, dict):
+        value = value["conditions"] if "conditions" in value else value if "name" in value or "expected" in value else None
+    cases = _listed(value)
     for n, case in enumerate(cases):
         name = _text(case.get("name"))
         yield "case", name, "", n, 0, _flat(case)
