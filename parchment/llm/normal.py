@@ -97,7 +97,7 @@ class Transducer:
         for cluster in _CLUSTER.findall(token):
             plain = "".join(c for c in cluster if c not in WIDTHLESS or join and c in "‌‍")
             if plain:
-                out.append(unicodedata.normalize("NFC", "".join(self.table.get(c, c) for c in plain)))
+                out.append(unicodedata.normalize("NFC", "".join(c if c in WIDTHLESS else self.table.get(c, c) for c in plain)))
         # accents that a character without width had parted from their letter
         text = unicodedata.normalize("NFC", "".join(out))
         if _LATIN.search(text) and not text.isascii():

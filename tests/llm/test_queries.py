@@ -1,0 +1,19 @@
+"""The text queries run over the smallest tables and give rows of the stated form."""
+
+import pytest
+
+from parchment.llm import plans
+
+COLUMNS = {
+    "p1_found": ["table_name", "row_key"], "p2_found": ["evidence_id", "line_no"], "p7_found": ["table_name", "row_key", "noise_kind"],
+    "p8_ids": ["doc_id", "ids"], "p9_found": ["doc_id", "item_id"], "p10_found": ["doc_id", "subject_key"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(plans.queries()))
+def test_query(spark, name):
+    df = plans.queries()[name](spark, "/root/testdata/sf0.001")
+    rows = df.collect()
+    if name in COLUMNS:
+        assert df.columns == COLUMNS[name]
+        assert len(rows) == len({str(r) for r in rows})
