@@ -27,6 +27,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, ahead of costly work on each row.
+
+    A large input has more splits than that and is left as it is; only a small one, of a file
+    or two, is shuffled, so that it doesn't keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join of a skewed ``big`` side with a ``small`` side that is unique on ``on``.
 
