@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import salted_join
+from ..session import salted_join, spread
 from .normal import normalized
 
 
 def line_form(line: Column) -> Column:
     """What two lines must share to be the same: no digits, no blanks, lower case, consistent characters (given)."""
-    return F.lower(F.regexp_replace(line, r"(?U)[\d\s]+", ""))
+    return F.lower(F.regexp_replace(line, r"[\p{Nd}\s]+", ""))
 
 
 def _wide(form: Column) -> Column:
@@ -20,7 +20,7 @@ def _wide(form: Column) -> Column:
 def line_keys(text: Column) -> Column:
     """Wide hashes of the forms of a text's lines, by position; null for a line without a letter."""
     kept = F.regexp_replace(text, "[\r\u0085  ]", " ")  # a line is what a line feed ends
-    return F.transform(F.split(normalized(kept), "\n"), lambda x: F.when(x.rlike(r"(?U)\p{L}"), _wide(line_form(x))))
+    return F.transform(F.split(normalized(kept), "\n"), lambda x: F.when(x.rlike(r"\p{L}"), _wide(line_form(x))))
 
 
 def repeated_lines(df: DataFrame, doc: str, source: str, text: str, date: str | None = None, by_text: bool = False, min_docs: int = 5, min_share: float = 0.04, min_dates: int = 1) -> DataFrame:
@@ -36,7 +36,8 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str, date: str |
     back salted, so that a source with a third of all rows spreads over many tasks.
     """
     day = F.to_date(F.col(f"`{date}`")) if date else F.lit(None).cast("date")
-    rows = df.where(F.col(f"`{doc}`").isNotNull()).select(
+    own = spread(df.where(F.col(f"`{doc}`").isNotNull()).select(*[F.col(f"`{c}`").alias(c) for c in dict.fromkeys(x for x in (doc, source, text, date) if x)]))
+    rows = own.select(
         F.col(f"`{doc}`").alias("doc"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), day.alias("day"), line_keys(F.col(f"`{text}`")).alias("keys")
     )
     docs = rows.groupBy("doc").agg(F.min(F.struct("day", "source", "keys")).alias("r")).select("doc", "r.*")

@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from .normal import transducer
 
 #: Words are runs of letters or digits.
@@ -155,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "t
                         [pa.array([ids[d] for d, _ in hits], b.schema.field(0).type), pa.array([i for _, i in hits], item_type), pa.array([len(x) for x in hits.values()], pa.int64())], names=["doc", "item", "windows"]
                     )
 
-        return docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")).where("text is not null").mapInArrow(run, f"doc {kind}, item {item_kind}, windows long")
+        return spread(docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")).where("text is not null")).mapInArrow(run, f"doc {kind}, item {item_kind}, windows long")
 
     item_type = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
     found, block, held = None, [], 0

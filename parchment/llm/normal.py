@@ -9,6 +9,8 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import spread
+
 #: Letters of other scripts and the Latin letters of the same look.
 LOOK_ALIKES = {
     # Cyrillic
@@ -149,4 +151,4 @@ def normalized(text: Column) -> Column:
 def variants(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows whose text isn't in the consistent form: (row_key, text, normal_text). Null and empty texts never are."""
     rows = df.select(F.col(f"`{key}`").cast("string").alias("row_key"), F.col(f"`{text}`").alias("text")).where(unplain(F.col("text")))
-    return rows.withColumn("normal_text", _normal("text")).where("normal_text <> text")
+    return spread(rows).withColumn("normal_text", _normal("text")).where("normal_text <> text")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from .normal import WIDTHLESS, transducer
 
 #: What a scanner reads (left) for what is printed (right).
@@ -433,7 +433,7 @@ def blocks(evidence: DataFrame, page_line: DataFrame) -> DataFrame:
     p = lines.groupBy("source_id", "pdf_page", "alone").agg(F.sort_array(F.collect_set("line")).alias("lines")).select(
         F.lit("page_line").alias("table_name"), "source_id", F.col("pdf_page").alias("page"), F.lit(None).cast("string").alias("printed_page"), F.lit("").alias("stem"), F.array_join("lines.line_id", "\n").alias("key"), F.array_join("lines.text", "\n").alias("text")
     )
-    return e.unionByName(p)
+    return spread(e).unionByName(p)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

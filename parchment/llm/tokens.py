@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
+
 #: Folder of the vocabulary files, if the caller names none.
 FOLDER = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 #: The splitting pattern of byte-level BPE, with white space spelt out.
@@ -123,4 +125,4 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
                 flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "ids"])
 
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return spread(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key)
