@@ -22,7 +22,7 @@ from .normal import WIDTHLESS, transducer
 
 #: What a scanner reads (left) for what is printed (right).
 CONFUSIONS = (
-    ("c", "e"), ("@", "a"), ("f", "t"), ("5", "s"), ("1", "i"), ("1", "l"), ("0", "o"), ("cl", "d"), ("ii", "u"), ("b", "h"), ("rn", "m"), ("ri", "n"), ("9", "g"), ("6", "b"), ("vv", "w"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"),
+    ("c", "e"), ("@", "a"), ("f", "t"), ("5", "s"), ("1", "i"), ("1", "l"), ("0", "o"), ("cl", "d"), ("ii", "u"), ("b", "h"), ("rn", "m"), ("ri", "n"), ("9", "g"), ("6", "b"), ("vv", "w"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("h", "li"), ("m", "rn"), ("d", "cl"),
     ("F", "E"), ("0", "O"), ("5", "S"), ("1", "I"), ("8", "B"), ("6", "G"), ("VV", "W"), ("CL", "D"), ("RN", "M"), ("II", "U"), ("4", "A"), ("|", "l"), ("!", "i"), ("$", "s"), ("€", "e"),
 )
 #: Letters read for digits.
