@@ -75,26 +75,55 @@ def match_candidates(rows: DataFrame, key: str, candidates: list[Column], agency
 # windows --------------------------------------------------------------------
 
 
-def gap_sessions(df: DataFrame, part: list[str], at: str, gap: Column, tie: str) -> DataFrame:
-    """``df`` with ``session``: a new one where the step from the row before exceeds ``gap`` (a Column over ``_step``)."""
-    w = Window.partitionBy(*part).orderBy(at, tie)
-    d = df.withColumn("_step", F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(w))
-    return d.withColumn("session", F.sum(F.when(F.col("_step").isNull() | gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
-
+def _over_cells(df: DataFrame, part: list[str], cell: Column, carried: Column, merge: Column) -> DataFrame:
+    """``df`` with ``_cell`` and ``_before``: what the cells before a row's own carry over.
 
-def carry_forward(df: DataFrame, part: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """``df`` with the latest non-null ``value`` up to each row."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    A cell is a stretch of the order, so a part that holds a third of all rows is sorted in
+    many tasks; only one summary row a cell is sorted by part. ``carried`` aggregates a cell
+    to ``_c``; ``merge`` is a window aggregate over ``_c``.
+    """
+    d = df.withColumn("_cell", cell)
+    sums = d.groupBy(*part, "_cell").agg(carried.alias("_c"))
+    before = sums.withColumn("_before", merge.over(Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)))
+    keys = [*part, "_cell"]
+    on = None
+    for k in keys:
+        t = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        on = t if on is None else on & t
+    return d.alias("l").join(before.alias("r"), on, "left").select("l.*", "r._before")
+
+
+def carry_forward(df: DataFrame, part: list[str], order: list[str], value: Column, name: str, cell: Column) -> DataFrame:
+    """``df`` with the latest non-null ``value`` up to each row. ``cell`` must not fall along ``order``."""
+    d = df.withColumn("_v", value)
+    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))
+    d = _over_cells(d, part, cell, last, F.last("_c", ignorenulls=True))
+    w = Window.partitionBy(*part, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(w), "_before")).drop("_v", "_cell", "_before")
+
+
+def running_count(df: DataFrame, part: list[str], order: list[str], flag: Column, name: str, cell: Column) -> DataFrame:
+    """``df`` with how many rows up to each one bear ``flag``."""
+    d = df.withColumn("_v", F.when(flag, 1).otherwise(0))
+    d = _over_cells(d, part, cell, F.sum("_v"), F.sum("_c"))
+    w = Window.partitionBy(*part, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn(name, F.sum("_v").over(w) + F.coalesce("_before", F.lit(0))).drop("_v", "_cell", "_before")
+
+
+def gap_sessions(df: DataFrame, part: list[str], at: str, gap: Column, tie: str, cell: Column) -> DataFrame:
+    """``df`` with ``session``: a new one where the step from the row before exceeds ``gap`` (a Column over ``_step``)."""
+    d = _over_cells(df.withColumn("_t", F.col(at).cast("double")), part, cell, F.max("_t"), F.max("_c"))
+    w = Window.partitionBy(*part, "_cell").orderBy(at, tie)
+    d = d.withColumn("_step", F.col("_t") - F.coalesce(F.lag("_t").over(w), "_before")).withColumn("_new", F.col("_step").isNull() | gap).drop("_t", "_cell", "_before")
+    return running_count(d, part, [at, tie], F.col("_new"), "session", cell).drop("_step", "_new")
 
 
-def as_of(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str) -> DataFrame:
-    """``left`` with the ``value`` of the latest right row not after it, by union and one window instead of a range join."""
+def as_of(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str, cell: Column) -> DataFrame:
+    """``left`` with the ``value`` of the latest right row not after it, by union and a carried value instead of a range join."""
     cols = left.columns
-    a = left.select(*cols, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
-    b = right.select(*[F.col(c) if c in [*on, at] else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*on).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*cols, value)
+    a = left.select(*cols, F.lit(None).cast(right.schema[value].dataType).alias(f"_{value}"), F.lit(1).alias("_side"))
+    b = right.select(*[F.col(c) if c in [*on, at] else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(value).alias(f"_{value}"), F.lit(0).alias("_side"))
+    return carry_forward(a.unionByName(b), on, [at, "_side"], F.col(f"_{value}"), value, cell).where("_side = 1").select(*cols, value)
 
 
 def bounded_children(df: DataFrame, part: list[str], at: str, is_parent: Column, is_child: Column, reach: float, tie: str) -> DataFrame:

@@ -60,20 +60,20 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_sessions(spark, d):
-    s = rel.gap_sessions(_events(spark, d), ["user_id"], "sec", F.col("_step") > 21600, "event_id")
+    s = rel.gap_sessions(_events(spark, d), ["user_id"], "sec", F.col("_step") > 21600, "event_id", F.floor(F.col("sec") / 604_800))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def locator_carry_forward(spark, d):
     lines = layout.page_lines(table(spark, d, "page_line"))
     head = F.nullif(F.regexp_extract("text", r"^(Section [0-9.]+)", 1), F.lit(""))
-    return rel.carry_forward(lines, ["source_id"], ["line_id"], head, "locator").select("line_id", "locator")
+    return rel.carry_forward(lines, ["source_id"], ["line_id"], head, "locator", F.substring("line_id", 1, 12)).select("line_id", "locator")
 
 
 def page_context_asof(spark, d):
     left = table(spark, d, "searchable_text_entry").select("entry_id", "source_id", F.col("page_number").alias("page")).distinct().where("page is not null")
     right = table(spark, d, "evidence").where("pdf_page is not null and printed_page is not null").groupBy("source_id", F.col("pdf_page").alias("page")).agg(F.min("printed_page").alias("printed"))
-    return rel.as_of(left, right, ["source_id"], "page", "printed")
+    return rel.as_of(left, right, ["source_id"], "page", "printed", F.floor(F.col("page") / 64))
 
 
 def exception_children(spark, d):

@@ -49,7 +49,7 @@ def code_reference_spans(spark, d):
 def definition_islands(spark, d):
     """Nodes in span order grouped from one heading to the next: the text of each artifact's runs."""
     s = current(table(spark, d, "source_text_section"), "node_id").where("label is not null or node_type is not null")
-    i = pv.islands(s, ["artifact_id"], ["span_start", "node_id"], F.col("node_type").isin("chapter", "section"))
+    i = pv.islands(s, ["artifact_id"], ["span_start", "node_id"], F.col("node_type").isin("chapter", "section"), F.floor(F.col("span_start") / 20_000))
     return i.groupBy("artifact_id", "island").agg(F.count("*").alias("nodes"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"))
 
 

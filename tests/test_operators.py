@@ -135,8 +135,8 @@ def test_intervals(spark):
 def test_as_of_and_sessions(spark):
     left = spark.createDataFrame([("a", 5, "x"), ("a", 1, "y"), ("b", 9, "z")], "k string, t int, n string")
     right = spark.createDataFrame([("a", 3, "three"), ("a", 5, "five")], "k string, t int, v string")
-    assert {(r.n, r.v) for r in rel.as_of(left, right, ["k"], "t", "v").collect()} == {("x", "five"), ("y", None), ("z", None)}
-    s = rel.gap_sessions(spark.createDataFrame([("u", 0, 1), ("u", 5, 2), ("u", 50, 3)], "u string, t int, i int"), ["u"], "t", F.col("_step") > 10, "i")
+    assert {(r.n, r.v) for r in rel.as_of(left, right, ["k"], "t", "v", F.floor(F.col("t") / 2)).collect()} == {("x", "five"), ("y", None), ("z", None)}
+    s = rel.gap_sessions(spark.createDataFrame([("u", 0, 1), ("u", 5, 2), ("u", 50, 3)], "u string, t int, i int"), ["u"], "t", F.col("_step") > 10, "i", F.floor(F.col("t") / 4))
     assert [(x.i, x.session) for x in s.orderBy("i").collect()] == [(1, 1), (2, 1), (3, 2)]
 
 
@@ -216,3 +216,19 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "own" / "x").write_text("")
     with pytest.raises(ValueError):
         sinks.prepare_folder(str(tmp_path / "own"))
+
+
+def test_running_values_over_cells(spark):
+    r = random.Random(6)
+    rows = [("hot" if i % 3 else None, r.randrange(40), i, r.choice([None, None, "x", "y"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v string")
+    want = {}
+    for k in ("hot", None):
+        last, n = None, 0
+        for x in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2])):
+            last, n = x[3] or last, n + (x[3] == "x")
+            want[x[2]] = (last, n)
+    for width in (1, 7, 1000):
+        cell = F.floor(F.col("t") / width)
+        d = rel.running_count(rel.carry_forward(df, ["k"], ["t", "i"], F.col("v"), "last", cell), ["k"], ["t", "i"], F.coalesce(F.col("v") == "x", F.lit(False)), "n", cell)
+        assert {x.i: (x.last, x.n) for x in d.collect()} == want
