@@ -232,3 +232,17 @@ def test_running_values_over_cells(spark):
         cell = F.floor(F.col("t") / width)
         d = rel.running_count(rel.carry_forward(df, ["k"], ["t", "i"], F.col("v"), "last", cell), ["k"], ["t", "i"], F.coalesce(F.col("v") == "x", F.lit(False)), "n", cell)
         assert {x.i: (x.last, x.n) for x in d.collect()} == want
+
+
+def test_context_over_cells(spark):
+    r = random.Random(7)
+    rows = [(f"e{i:03}", r.choice(["s", "t", None]), r.choice([None, *range(30)]), r.randrange(3)) for i in range(80)]
+    df = spark.createDataFrame(rows, "evidence_id string, source_id string, pdf_page int, block_index int")
+    low = lambda x: (x[2] is not None, x[2] or 0, x[3], x[0])
+    for b, a in ((1, 1), (3, 0), (0, 4), (5, 2)):
+        want = {}
+        for s in ("s", "t", None):
+            own = [x[0] for x in sorted((x for x in rows if x[1] == s), key=low)]
+            want |= {e: ",".join(own[max(0, i - b) : i + a + 1]) for i, e in enumerate(own)}
+        for pages in (1, 4, 1000):
+            assert {x.evidence_id: x.context for x in ev.with_context(df, b, a, pages=pages).collect()} == want
