@@ -160,8 +160,11 @@ def top_per_group(df: DataFrame, part: list[str], order: list[Column], k: int) -
 
 
 def section_index(df: DataFrame, owner: str, key: str, ref: str) -> DataFrame:
-    """(owner, key, sort_key, refs): references grouped by address, in natural order of the address."""
-    return df.groupBy(owner, key).agg(F.array_join(F.array_sort(F.collect_set(ref)), ",").alias("refs")).withColumn("sort_key", natural_key(F.col(key)))
+    """(owner, key, sort_key, ref): each address's references, one a row, with the address's natural order.
+
+    Rows instead of lists: an address that a third of all references name isn't gathered anywhere.
+    """
+    return df.select(owner, key, ref).distinct().withColumn("sort_key", natural_key(F.col(key)))
 
 
 # bands and intervals --------------------------------------------------------

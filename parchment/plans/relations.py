@@ -87,7 +87,7 @@ def _captions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def caption_groups(spark, d):
-    return _captions(spark, d).groupBy("source_id", "target").agg(F.min("pdf_page").alias("first_page"), F.max("pdf_page").alias("last_page"), F.count("*").alias("blocks"), F.array_join(F.array_sort(F.collect_set("evidence_id")), ",").alias("members"))
+    return _captions(spark, d).groupBy("source_id", "target").agg(F.min("pdf_page").alias("first_page"), F.max("pdf_page").alias("last_page"), F.count("*").alias("blocks"), F.min("evidence_id").alias("first_member"))
 
 
 def occurrence_patterns(spark, d):
@@ -276,12 +276,12 @@ def oracle_sql() -> dict[str, str]:
     q["locator_carry_forward"] = f"WITH {_PL} SELECT line_id, last_value(nullif(regexp_extract(text, '^(Section [0-9.]+)', 1), '') IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY line_id ROWS UNBOUNDED PRECEDING) AS locator FROM pl"
     q["page_context_asof"] = "WITH l AS (SELECT DISTINCT entry_id, source_id, page_number AS page FROM searchable_text_entry WHERE page_number IS NOT NULL), r AS (SELECT source_id, pdf_page AS page, min(printed_page) AS printed FROM evidence WHERE pdf_page IS NOT NULL AND printed_page IS NOT NULL GROUP BY ALL) SELECT l.entry_id, l.source_id, l.page, r.printed FROM l ASOF LEFT JOIN r ON l.source_id = r.source_id AND l.page >= r.page"
     q["exception_children"] = f"WITH {_PL}, f AS (SELECT *, last_value(CASE WHEN contains(text, 'Exception') THEN {{'k': line_id, 'y': y0}} END IGNORE NULLS) OVER (PARTITION BY source_id, pdf_page ORDER BY y0, line_id ROWS UNBOUNDED PRECEDING) AS p FROM pl WHERE pdf_page IS NOT NULL AND y0 IS NOT NULL) SELECT line_id AS child, p.k AS parent FROM f WHERE contains(text, 'shall') AND NOT contains(text, 'Exception') AND y0 - p.y <= 60.0"
-    q["caption_groups"] = f"WITH {_CP} SELECT source_id, target, min(pdf_page) AS first_page, max(pdf_page) AS last_page, count(*) AS blocks, array_to_string(list_sort(list(DISTINCT evidence_id)), ',') AS members FROM cp GROUP BY ALL"
+    q["caption_groups"] = f"WITH {_CP} SELECT source_id, target, min(pdf_page) AS first_page, max(pdf_page) AS last_page, count(*) AS blocks, min(evidence_id) AS first_member FROM cp GROUP BY ALL"
     q["occurrence_patterns"] = f"WITH {_CP} SELECT source_id, target, count(*) AS occurrences, count(DISTINCT pdf_page) AS pages, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT pdf_page) = 1 THEN 'same_page' WHEN max(pdf_page) - min(pdf_page) + 1 = count(DISTINCT pdf_page) THEN 'adjacent' ELSE 'discontiguous' END AS pattern FROM cp WHERE pdf_page IS NOT NULL GROUP BY ALL"
     q["contiguous_runs"] = "WITH p AS (SELECT DISTINCT source_id, pdf_page FROM evidence WHERE extraction_method LIKE 'ocr%' AND pdf_page IS NOT NULL), g AS (SELECT *, pdf_page - row_number() OVER (PARTITION BY source_id ORDER BY pdf_page) AS g FROM p) SELECT source_id, min(pdf_page) AS first, max(pdf_page) AS last, count(*) AS length FROM g GROUP BY source_id, g"
     q["continuation_links"] = f"WITH {_CP}, w AS (SELECT *, evidence_id || ':' || target AS id, lag(evidence_id || ':' || target) OVER (PARTITION BY source_id, target ORDER BY pdf_page, evidence_id || ':' || target) AS prev FROM cp WHERE pdf_page IS NOT NULL) SELECT id, CASE WHEN occurrences > 1 THEN prev END AS previous, CASE WHEN occurrences > 1 AND prev IS NOT NULL THEN 'continuation' WHEN occurrences > 1 THEN 'orphan' WHEN prev IS NOT NULL THEN 'unresolved' ELSE 'primary' END AS kind FROM w"
     q["top_per_group"] = f"WITH {_EV} SELECT publication_key, extraction_method, evidence_id, CAST(row_number() OVER (PARTITION BY publication_key, extraction_method ORDER BY pdf_page, block_index NULLS FIRST, evidence_id) AS INTEGER) AS rank FROM ev WHERE pdf_page IS NOT NULL QUALIFY rank <= 3"
-    q["section_index"] = f"WITH {_RF} SELECT owner, key, array_to_string(list_sort(list(DISTINCT relation_id)), ',') AS refs, array_to_string(list_transform(regexp_extract_all(key, '([0-9]+|[^0-9]+)', 1), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') AND length(x) < 9 THEN lpad(x, 9, '0') ELSE x END), '') AS sort_key FROM rf WHERE key IS NOT NULL AND owner IS NOT NULL GROUP BY owner, key"
+    q["section_index"] = f"WITH {_RF} SELECT DISTINCT owner, key, relation_id, array_to_string(list_transform(regexp_extract_all(key, '([0-9]+|[^0-9]+)', 1), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') AND length(x) < 9 THEN lpad(x, 9, '0') ELSE x END), '') AS sort_key FROM rf WHERE key IS NOT NULL AND owner IS NOT NULL"
     q["locator_parts"] = f"WITH {_TG}, u AS (SELECT DISTINCT owner, key, regexp_replace(key, '(\\([^()]*\\)|/[^/]*|\\.[^./()]*)$', '') AS up FROM tg) SELECT owner, key, CASE WHEN up <> key AND up <> '' THEN up END AS parent, CAST({_DEPTH.format(c='key')} AS INTEGER) AS depth, string_split(key, ':')[1] AS kind FROM u"
     q["section_references"] = f"WITH {_SP}, f AS (SELECT DISTINCT source_artifact_id AS owner, relation_id, evidence_start AS s, evidence_end AS e FROM reference_relation WHERE evidence_start < evidence_end) SELECT sp.owner, sp.key AS section_id, f.relation_id AS fragment_id, greatest(span_start, s) AS start, least(span_end, e) AS \"end\" FROM sp JOIN f ON sp.owner = f.owner AND span_start < e AND s < span_end WHERE span_start < span_end"
     q["structural_ranges"] = f"WITH {_SP}, d AS (SELECT *, {_DEPTH.format(c='key')} AS dep FROM sp) SELECT a.owner, a.key, a.span_start AS range_start, coalesce(min(b.span_start), (SELECT max(span_end) FROM sp s WHERE s.owner = a.owner)) AS range_end FROM d a LEFT JOIN d b ON a.owner = b.owner AND b.dep <= a.dep AND (b.span_start > a.span_start OR (b.span_start = a.span_start AND b.key > a.key)) GROUP BY a.owner, a.key, a.span_start"
