@@ -28,3 +28,16 @@ def test_empty(spark):
     e = spark.createDataFrame([], "k string, o string, x double, y double")
     assert inv.families(e, "k", "o").count() == 0 and inv.shared_targets(e, "k", "o").count() == 0
     assert inv.fingerprints(e, ["k"], ["x", "y"]).count() == 0 and inv.far_from(e, e, "k", "o", "y", 5.0).count() == 0
+
+
+def test_stream_terms_and_frames(spark):
+    from parchment.operators import stream_text as st
+
+    df = spark.createDataFrame([("o", i, t) for i, t in enumerate(["ab", None, "", "xyz"])], "o string, i int, t string")
+    got = [(r.start, r.end) for r in st.text_stream(df, "o", ["i"], "t", F.floor(F.col("i") / 2)).orderBy("i").collect()]
+    assert got == [(0, 2), (3, 3), (4, 4), (5, 8)]
+    docs = spark.createDataFrame([(1, "The Exit door, exit DOOR; exits"), (2, None), (3, "")], "k int, t string")
+    terms = spark.createDataFrame([("exit door",), ("Exit",), ("door exit door",), (None,)], "n string")
+    assert {(r.k, r.term): r.mentions for r in st.term_mentions(docs, "k", "t", terms, "n").collect()} == {(1, "exit door"): 2, (1, "exit"): 2, (1, "door exit door"): 1}
+    box = spark.createDataFrame([([1.0, 2.0, 5.0, 3.0], 0.0, 1.0)], "b array<double>, x double, y double")
+    assert box.select(st.in_writing_frame(F.col("b"), F.col("x"), F.col("y")).alias("b")).first().b == [2.0, -5.0, 3.0, -1.0]
