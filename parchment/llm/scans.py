@@ -191,6 +191,15 @@ def title_form(line: str) -> bool:
     return line.isupper() or all(w[0].isupper() or w in _SMALL for w in ws)
 
 
+def corrected(line: str, words: list[str], lex: Lexicon) -> str:
+    """A line with its misread words put right."""
+    if any(map(lex.misread.__getitem__, words)):
+        for w in words:
+            if lex[w][1]:
+                line = line.replace(w, lex[w][0], 1)
+    return line
+
+
 def skeleton(words: list[str]) -> str:
     """A title's letters without numbering and numbers, marked if all are capitals."""
     kept = [w for w in words if not w.isdecimal() and not _NUMBERING.fullmatch(w)]
@@ -322,7 +331,7 @@ def readings(block: Block, lex: Lexicon, titles: set[str], page: int | None, pri
     head, nums = edges(block, page, printed)
     headers = set()
     for i in range(len(block.plain)) if stem else sorted(head):
-        if (i in head or 2 <= len(block.words[i]) <= 9) and title_form(block.plain[i]):
+        if (i in head or 2 <= len(block.words[i]) <= 9) and title_form(corrected(block.plain[i], block.words[i], lex)):
             fixed = skeleton([lex[w][0] or w for w in block.words[i]])
             own = fixed.removesuffix("\t^").split(" ")
             # a publication's own title is no content of a block, even where a notice stands before it
@@ -437,7 +446,7 @@ def blocks(evidence: DataFrame, page_line: DataFrame) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pre-aggregated per task: words ('w'), hyphenated pairs ('p'), title candidates ('t': all, in title form at an edge)."""
+    """Pre-aggregated per task: words ('w'), hyphenated pairs ('p'), title candidates by table and source ('t': all, at an edge)."""
     seen: Counter = Counter()
     pairs: Counter = Counter()
     titles: dict[tuple[str, str], list[int]] = {}
@@ -452,7 +461,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear(), pairs.clear(), titles.clear()
 
     for b in batches:
-        for source, page, printed, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for table, source, page, printed, text in zip(*(b.column(i).to_pylist() for i in range(5))):
+            source = f"{table}|{source or ''}"
             lines = text.split("\n")
             block = Block(lines)
             for ws in block.words:
@@ -470,7 +480,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if form and head is None:
                         head = edges(block, page, printed)[0]
                     if form and (key := skeleton(ws)):
-                        t = titles.setdefault((source or "", key), [0, 0])
+                        t = titles.setdefault((source, key), [0, 0])
                         t[0] += 1
                         t[1] += bool(form and i in head)
         if len(seen) + len(titles) > 400_000:
@@ -484,26 +494,31 @@ _NOISE = pa.schema([("table_name", pa.string()), ("row_key", pa.string()), ("noi
 class Scans:
     """The corpus counts that decoding needs, and the two results made with them."""
 
-    def __init__(self, evidence: DataFrame, page_line: DataFrame, min_pages: int = 3, title_share: float = 0.6) -> None:
+    def __init__(self, evidence: DataFrame, page_line: DataFrame, min_pages: int = 3, title_share: float = 0.6, of_most: float = 0.15) -> None:
         """Counts every word and title candidate of the corpus.
 
         The lexicon holds words of at least SHARE of all words, hence at most 1 / SHARE: this
-        bounds what is collected and broadcast at any size. Titles stay distributed, by source.
+        bounds what is collected and broadcast at any size. Titles stay distributed, by table and
+        source; one counts if it stands at an edge on ``min_pages`` pages, mostly there, and at
+        least ``of_most`` times as often as its source's most frequent one.
         """
         self.blocks = blocks(evidence, page_line)
         spark = evidence.sparkSession
-        counted = self.blocks.select("source_id", "page", "printed_page", "text").where("text <> ''").mapInArrow(_count, "kind string, source string, key string, n long, good long")
+        counted = self.blocks.select("table_name", "source_id", "page", "printed_page", "text").where("text <> ''").mapInArrow(_count, "kind string, source string, key string, n long, good long")
         self.counts = checkpointed(counted.groupBy("kind", "source", "key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).where(f"kind <> 'w' and n >= 2 or n >= {LEAST}"))
         total = {r.kind: r.n for r in self.counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         least = max(LEAST, math.ceil(SHARE * total.get("w", 0)))
         words = {r.key: r.n for r in self.counts.where(f"kind = 'w' and n >= {least}").select("key", "n").toLocalIterator()}
         pairs = frozenset(r.key for r in self.counts.where(f"kind = 'p' and n >= {max(2, math.ceil(SHARE * total.get('p', 0)))}").select("key").toLocalIterator())
         self.shared = spark.sparkContext.broadcast((trusted(words), pairs))
-        self.titles = self.counts.where(f"kind = 't' and good >= {min_pages}").where(F.col("good") >= F.col("n") * F.lit(title_share)).groupBy(F.col("source").alias("source_id")).agg(F.collect_list("key").alias("titles"))
+        often = self.counts.where(f"kind = 't' and good >= {min_pages}").where(F.col("good") >= F.col("n") * F.lit(title_share))
+        most = often.groupBy("source").agg(F.max("good").alias("most"))
+        kept = often.join(most, "source").where(F.col("good") >= F.col("most") * F.lit(of_most))
+        self.titles = kept.groupBy("source").agg(F.collect_list("key").alias("titles"))
 
     def _placed(self) -> DataFrame:
         """Blocks with their source's titles; a source has few titles, so one row of them."""
-        return self.blocks.join(self.titles, "source_id", "left").select("table_name", "key", "source_id", "page", "printed_page", "stem", "text", F.array_join(F.coalesce("titles", F.array().cast("array<string>")), "\n").alias("titles"))
+        return self.blocks.withColumn("source", F.concat_ws("|", "table_name", F.coalesce("source_id", F.lit("")))).join(self.titles, "source", "left").select("table_name", "key", "source_id", "page", "printed_page", "stem", "text", F.array_join(F.coalesce("titles", F.array().cast("array<string>")), "\n").alias("titles"))
 
     def noise(self) -> DataFrame:
         """(table_name, row_key, noise_kind), each once."""
