@@ -116,7 +116,7 @@ def oracle_sql() -> dict[str, str]:
         CASE p_partkey % 4 WHEN 0 THEN 'shall' WHEN 1 THEN 'must not' WHEN 2 THEN 'may' END AS modal,
         CASE p_partkey % 7 WHEN 0 THEN 'provide ' WHEN 1 THEN 'be equipped throughout with ' WHEN 2 THEN 'be installed ' ELSE 'have regard to ' END AS act FROM part)
       SELECT p_partkey, CASE m WHEN 0 THEN 'requirement' WHEN 1 THEN 'prohibition' WHEN 2 THEN 'permission' ELSE 'unknown' END AS modality,
-        CASE WHEN m < 3 THEN length(head) + 1 END AS modal_start, CASE WHEN m < 3 THEN length(head) + 1 + length(modal) END AS modal_end, CASE WHEN m < 3 THEN p_name END AS subject,
+        CAST(CASE WHEN m < 3 THEN length(head) + 1 END AS INTEGER) AS modal_start, CAST(CASE WHEN m < 3 THEN length(head) + 1 + length(modal) END AS INTEGER) AS modal_end, CASE WHEN m < 3 THEN p_name END AS subject,
         CASE WHEN m < 3 THEN CASE c WHEN 0 THEN 'all_of' WHEN 1 THEN 'any_of' ELSE 'comparison' END END AS condition_type,
         CASE WHEN m < 3 THEN 'height' END AS property, CASE WHEN m < 3 THEN '>' END AS operator, CASE WHEN m < 3 THEN CAST(p_size AS DOUBLE) END AS value,
         CASE WHEN m < 3 THEN CASE u WHEN 0 THEN 'ft' WHEN 1 THEN 'ft2' ELSE 'in' END END AS unit, CASE WHEN m = 3 THEN 0 WHEN c < 2 THEN 2 ELSE 1 END AS n_comparisons,

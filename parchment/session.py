@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,7 +12,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if getattr(sc, "_parchment_sent", False) or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="parchment-code-")) / "parchment.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._parchment_sent = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
