@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import salted_join, spread
+from ..session import BROADCAST_ROWS, checkpointed, salted_join, spread
 from .normal import normalized
 
 
@@ -32,26 +32,28 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str, date: str |
     ``min_docs`` clusters, in ``min_share`` of all clusters of its source (those without text
     count in the total) and on ``min_dates`` distinct days of ``date``. line_no counts from
     1, empty lines included. A null source is a source of its own. Lines are keyed by
-    128-bit hashes; only these are shuffled, pre-aggregated by source and line, and joined
-    back salted, so that a source with a third of all rows spreads over many tasks.
+    128-bit hashes; only these are shuffled, pre-aggregated by source and line. The repeated
+    lines are joined back by broadcast if they are few, otherwise salted, so that a source
+    with a third of all rows spreads over many tasks.
     """
     day = F.to_date(F.col(f"`{date}`")) if date else F.lit(None).cast("date")
     own = spread(df.where(F.col(f"`{doc}`").isNotNull()).select(*[F.col(f"`{c}`").alias(c) for c in dict.fromkeys(x for x in (doc, source, text, date) if x)]))
-    rows = own.select(
-        F.col(f"`{doc}`").alias("doc"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), day.alias("day"), line_keys(F.col(f"`{text}`")).alias("keys")
-    )
-    docs = rows.groupBy("doc").agg(F.min(F.struct("day", "source", "keys")).alias("r")).select("doc", "r.*")
-    clusters = docs.withColumn("cluster", F.xxhash64("keys") if by_text else F.lit(0).cast("long"))
-    counted = clusters.groupBy("source", "cluster", "keys").agg(F.min("day").alias("day")) if by_text else clusters
+    rows = own.select(F.col(f"`{doc}`").alias("doc"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), day.alias("day"), line_keys(F.col(f"`{text}`")).alias("keys"))
+    rows = rows.select("doc", F.struct("day", "source", F.col("keys.a").alias("a"), F.col("keys.b").alias("b")).alias("r"))
+    # read twice, and small beside the texts: two long integers a line
+    docs = checkpointed(rows.groupBy("doc").agg(F.min("r").alias("r")).select("doc", "r.*"))
+    clusters = docs.withColumn("cluster", F.xxhash64("a", "b") if by_text else F.lit(0).cast("long"))
+    counted = clusters.groupBy("source", "cluster", "a", "b").agg(F.min("day").alias("day")) if by_text else clusters
     total = counted.groupBy("source").agg(F.count("*").alias("total"))
-    lines = counted.select("source", "day", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
+    lines = counted.select("source", "day", F.explode(F.array_distinct(F.filter(F.arrays_zip("a", "b"), lambda x: x["a"].isNotNull()))).alias("key"))
     often = lines.groupBy("source", "key").agg(F.count("*").alias("n"), *([F.countDistinct("day").alias("days")] if date and min_dates > 1 else [])).where(F.col("n") >= min_docs)
     if date and min_dates > 1:
         often = often.where(F.col("days") >= min_dates)
     # at most 1 / min_share times the lines of a document per source
-    often = often.join(total, "source").where(F.col("n") >= F.col("total") * F.lit(min_share) - 1e-9).select("source", "key", "n", "total")
-    placed = docs.select("doc", "source", F.posexplode("keys").alias("pos", "key")).where("key is not null")
-    return salted_join(placed, often, ["source", "key"], "doc").select("doc", (F.col("pos") + 1).alias("line_no"), "n", "total")
+    often = checkpointed(often.join(total, "source").where(F.col("n") >= F.col("total") * F.lit(min_share) - 1e-9).select("source", "key", "n", "total"))
+    placed = docs.select("doc", "source", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "key")).where("key.a is not null")
+    found = placed.join(F.broadcast(often), ["source", "key"]) if often.count() <= BROADCAST_ROWS else salted_join(placed, often, ["source", "key"], "doc")
+    return found.select("doc", (F.col("pos") + 1).alias("line_no"), "n", "total")
 
 
 def without_lines(df: DataFrame, found: DataFrame, doc: str, text: str) -> DataFrame:

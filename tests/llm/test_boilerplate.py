@@ -31,8 +31,9 @@ def brute(rows, least, share):
     return {(i, n) for i, (s, t) in docs.items() if t is not None for n, line in enumerate(t.split("\n"), 1) if key(line) and len(ids := seen[s, key(line)]) >= least and len(ids) >= share * total[s]}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, bound", [(1, 200_000), (2, 0)])
+def test_against_brute_force(spark, monkeypatch, seed, bound):
+    monkeypatch.setattr(boilerplate, "BROADCAST_ROWS", bound)
     r = random.Random(seed)
     pool = ["Share this page", "SHARE  THIS page", "Ｓhare this page 7", "Downloaded 3/4", "12 34", "", "Dооr", "Door", "rare ​line"]
     rows = [(f"e{i}", r.choice(["s", "t", None]), None if r.random() < 0.1 else "\n".join(r.choice(pool) if r.random() < 0.6 else f"own words {chr(97 + i % 26)}{chr(97 + i // 26)}" for _ in range(r.randrange(5)))) for i in range(90)]
