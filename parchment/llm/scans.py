@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpointed, spread
+from ..session import BROADCAST_ROWS, checkpointed, salted_join, spread
 from .normal import WIDTHLESS, transducer
 
 #: What a scanner reads (left) for what is printed (right).
@@ -514,11 +514,14 @@ class Scans:
         often = self.counts.where(f"kind = 't' and good >= {min_pages}").where(F.col("good") >= F.col("n") * F.lit(title_share))
         most = often.groupBy("source").agg(F.max("good").alias("most"))
         kept = often.join(most, "source").where(F.col("good") >= F.col("most") * F.lit(of_most))
-        self.titles = kept.groupBy("source").agg(F.collect_list("key").alias("titles"))
+        self.titles = checkpointed(kept.groupBy("source").agg(F.collect_list("key").alias("titles")))
+        self.few = self.titles.count() <= BROADCAST_ROWS
 
     def _placed(self) -> DataFrame:
-        """Blocks with their source's titles; a source has few titles, so one row of them."""
-        return self.blocks.withColumn("source", F.concat_ws("|", "table_name", F.coalesce("source_id", F.lit("")))).join(self.titles, "source", "left").select("table_name", "key", "source_id", "page", "printed_page", "stem", "text", F.array_join(F.coalesce("titles", F.array().cast("array<string>")), "\n").alias("titles"))
+        """Blocks with their source's titles; a source has few, so one row of them, broadcast if there are few sources."""
+        own = self.blocks.withColumn("source", F.concat_ws("|", "table_name", F.coalesce("source_id", F.lit(""))))
+        joined = own.join(F.broadcast(self.titles), "source", "left") if self.few else salted_join(own, self.titles, ["source"], "key", "left")
+        return joined.select("table_name", "key", "source_id", "page", "printed_page", "stem", "text", F.array_join(F.coalesce("titles", F.array().cast("array<string>")), "\n").alias("titles"))
 
     def noise(self) -> DataFrame:
         """(table_name, row_key, noise_kind), each once."""

@@ -1,3 +1,5 @@
+import pytest
+
 from parchment.llm import scans
 
 COUNTS = {w: 400 for w in "the installer shall inspect ground snow load where stair is enclosed and fire rated doors of oak building manual liqueax a it to hall high chapter trap seal mortar".split()} | {"retardant": 50, "treated": 50}
@@ -50,7 +52,9 @@ def test_paragraphs_and_decoding():
     assert scans.paragraphs(scans.Block([""]), LEX, set(), set(), {}) == []
 
 
-def test_tables(spark):
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_tables(spark, monkeypatch, bound):
+    monkeypatch.setattr(scans, "BROADCAST_ROWS", bound)
     e = "evidence_id string, source_id string, publication_key string, pdf_page int, printed_page string, text string, titles string"
     p = "line_id string, source_id string, pdf_page int, text string"
     body = "the installer shall inspect the stair of the hall"
