@@ -248,15 +248,17 @@ def reconcile_changes(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
     (change_id, outcome): confirmed, contradicted (only other kinds seen), ambiguous (several
     of its kind), expected_not_observed; observed changes that share no target come out as
-    unexpected_observed.
+    unexpected_observed. The least and the greatest observed change per target and kind tell
+    none, one and several apart, so no pair is listed and one met at two targets counts once.
     """
-    e = expected.select(F.col("change_id").alias("e"), F.col("kind").alias("ek"), F.explode("targets").alias("t"))
-    o = observed.select(F.col("change_id").alias("o"), F.col("kind").alias("ok"), F.explode("targets").alias("t"))
-    pairs = e.join(o, "t").select("e", "ek", "o", "ok").distinct()
-    seen = pairs.groupBy("e").agg(F.count_if(F.col("ek") == F.col("ok")).alias("same"), F.count("*").alias("any"))
-    out = expected.select(F.col("change_id").alias("e")).join(seen, "e", "left")
-    outcome = F.when(F.col("any").isNull(), "expected_not_observed").when(F.col("same") == 1, "confirmed").when(F.col("same") > 1, "ambiguous").otherwise("contradicted")
-    extra = observed.select(F.col("change_id").alias("o")).join(pairs.select("o").distinct(), "o", "left_anti")
+    e = expected.select(F.col("change_id").alias("e"), F.col("kind").alias("k"), F.explode("targets").alias("t")).where("t is not null")
+    o = observed.select(F.col("change_id").alias("o"), F.col("kind").alias("k"), F.explode("targets").alias("t")).where("t is not null")
+    kinds = o.groupBy("t", "k").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
+    same = e.join(kinds, ["t", "k"]).groupBy("e").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = e.join(o.select("t").distinct(), "t", "left_semi").select("e").distinct().withColumn("met", F.lit(True))
+    out = expected.select(F.col("change_id").alias("e")).join(met, "e", "left").join(same, "e", "left")
+    outcome = F.when(F.col("met").isNull(), "expected_not_observed").when(F.col("lo") == F.col("hi"), "confirmed").when(F.col("lo") < F.col("hi"), "ambiguous").otherwise("contradicted")
+    extra = observed.select(F.col("change_id").alias("o")).join(o.join(e.select("t").distinct(), "t", "left_semi").select("o").distinct(), "o", "left_anti")
     return out.select(F.col("e").alias("change_id"), outcome.alias("outcome")).unionByName(extra.select(F.col("o").alias("change_id"), F.lit("unexpected_observed").alias("outcome")))
 
 
