@@ -225,15 +225,12 @@ def visual_topk(spark, d):
 
 def visual_hybrid(spark, d):
     v = table(spark, d, "embeddings")
-    hits = vectors.top_k(v.where("vec_id % 50 = 0"), v, 10).join(v.select(F.col("vec_id").alias("neighbour_id"), "label"), "neighbour_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    scored = hits.withColumn("context", (F.col("label") == F.col("query_label")).cast("double"))
-    return vectors.fuse(scored, {"score": 0.55, "context": 0.45}, ["query_id"]).select("query_id", "neighbour_id", "fused")
+    return vectors.hybrid_top_k(v.where("vec_id % 50 = 0"), v, "label", 10)
 
 
 def visual_best_per_label(spark, d):
     v = table(spark, d, "embeddings")
-    hits = vectors.top_k(v.where("vec_id % 50 = 0"), v, 10).join(v.select(F.col("vec_id").alias("neighbour_id"), "label"), "neighbour_id")
-    return hits.groupBy("query_id", "label").agg(F.max("score").alias("score"))
+    return vectors.best_per_label(v.where("vec_id % 50 = 0"), v, "label")
 
 
 _ALL = (crossref_resolve, crossref_reconcile, crossref_summary, crossref_two_cycles, crosschecks_anti, external_alias_match, gap_sessions, locator_carry_forward, page_context_asof, exception_children, caption_groups, occurrence_patterns, contiguous_runs, continuation_links, top_per_group, section_index, locator_parts, section_references, structural_ranges, interval_subtract, amendment_overlaps, amendment_active, lineage_controlling, change_reconcile, ownership_assign, source_audit, provenance_edges, reference_components, reference_cycles, table_rows_detect, ruled_tables, box_clusters, visual_topk, visual_hybrid, visual_best_per_label)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
-from parchment.operators import relations as rel
+from parchment.operators import relations as rel, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +39,45 @@ def test_change_reconcile_reads_every_order(spark):
     got = [(r.change_id, r.outcome) for r in entry.queries()["change_reconcile"](spark, SF).collect()]
     want = outcomes([x for x in o if x[0] % 2 == 0], [x for x in o if x[0] % 2])
     assert len(got) == len(want) and dict(got) == want
+
+
+def fused(vs, k):
+    """Best ``k`` by fused score over all rows, and the greatest score per label, of every query."""
+    hybrid, best = {}, defaultdict(lambda: -np.inf)
+    for q, v, label in vs:
+        if q % 50 or v is None:
+            continue
+        near = [(n, round(float(np.dot(np.float64(v), np.float64(u))), 9), x) for n, u, x in vs if n != q and u is not None]
+        s = [x[1] for x in near]
+        c = [None if label is None or x[2] is None else float(x[2] == label) for x in near]
+        known = [x for x in c if x is not None] or [0.0]
+        score = [0.55 * (a - min(s)) / (max(s) - min(s) + 1e-9) + 0.45 * ((min(known) if b is None else b) - min(known)) / (max(known) - min(known) + 1e-9) for a, b in zip(s, c)]
+        for f, n in sorted((-f, x[0]) for f, x in zip(score, near))[:k]:
+            hybrid[q, n] = -f
+        for _, a, x in near:
+            best[q, x] = max(best[q, x], a)
+    return hybrid, best
+
+
+def close(got, want):
+    return got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+
+def test_vectors_over_all_rows(spark):
+    vs = [(r["vec_id"], r["embedding"], r["label"]) for r in rows("embeddings")]
+    hybrid, best = fused(vs, 10)
+    assert close({(r.query_id, r.neighbour_id): r.fused for r in entry.queries()["visual_hybrid"](spark, SF).collect()}, hybrid)
+    assert close({(r.query_id, r.label): r.score for r in entry.queries()["visual_best_per_label"](spark, SF).collect()}, best)
+
+
+def test_vectors_in_blocks_without_labels(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "HELD", 16)
+    r = np.random.default_rng(4)
+    vs = [(i, None if i == 3 else r.random(4).astype("float32").tolist(), None if i % 7 == 0 else f"l{i % 3}") for i in range(251)]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<float>, label string").repartition(3)
+    hybrid, best = fused(vs, 5)
+    q = df.where("vec_id % 50 = 0")
+    assert close({(x.query_id, x.neighbour_id): x.fused for x in vectors.hybrid_top_k(q, df, "label", 5).collect()}, hybrid)
+    assert close({(x.query_id, x.label): x.score for x in vectors.best_per_label(q, df, "label").collect()}, best)
+    assert vectors.hybrid_top_k(q.limit(0), df, "label").count() == vectors.best_per_label(q.limit(0), df, "label").count() == 0
