@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import BROADCAST_ROWS
 from .relations import _over_cells
 
 
@@ -19,17 +20,21 @@ def text_stream(df: DataFrame, owner: str, order: list[str], text: str, cell: Co
     return d.withColumn("end", end).withColumn("start", F.col("end") - F.col("_l") + 1).drop("_l", "_cell", "_before")
 
 
-def term_mentions(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, max_words: int = 4) -> DataFrame:
-    """(key, term, mentions): whole-word mentions of each term, of at most ``max_words`` words, in lower case.
+def term_mentions(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """(key, term, mentions): whole-word mentions of each term, in lower case.
 
-    Runs of words are joined to the terms by equality; no text is searched once per term. A
-    run that repeats in one text is counted before the join. Longer terms hide none of the
-    shorter ones in them.
+    Runs of words, of just the lengths that terms have, are joined to the terms by equality;
+    no text is searched once per term. A run that repeats in one text is counted before the
+    join. Longer terms hide none of the shorter ones in them.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    t = terms.select(F.array_join(F.regexp_extract_all(F.lower(term), F.lit("[a-z0-9]+"), F.lit(0)), " ").alias("term")).where("term <> ''").distinct()
+    split = terms.select(F.regexp_extract_all(F.lower(term), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where("size(w) > 0")
+    seen = split.agg(F.collect_set(F.size("w")).alias("sizes"), F.count("*").alias("n")).first()
+    t = split.select(F.array_join("w", " ").alias("term")).distinct()
+    t = F.broadcast(t) if seen.n <= BROADCAST_ROWS else t
     d = df.where(F.col(text).isNotNull()).select(key, words.alias("w")).where("size(w) > 0")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " ")))))
+    sizes = F.array(*[F.lit(n) for n in sorted(seen.sizes)]).cast("array<int>")
+    runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " ")))))
     return d.select(key, F.explode(runs).alias("term")).join(t, "term").groupBy(key, "term").agg(F.count("*").alias("mentions"))
 
 

@@ -1,12 +1,13 @@
 """Whole jobs: queries whose results are recomputed over all rows, without the SQL."""
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
-from parchment.operators import relations as rel, vectors
+from parchment.operators import relations as rel, stream_text, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,24 @@ def test_vectors_in_blocks_without_labels(spark, monkeypatch):
     assert close({(x.query_id, x.neighbour_id): x.fused for x in vectors.hybrid_top_k(q, df, "label", 5).collect()}, hybrid)
     assert close({(x.query_id, x.label): x.score for x in vectors.best_per_label(q, df, "label").collect()}, best)
     assert vectors.hybrid_top_k(q.limit(0), df, "label").count() == vectors.best_per_label(q.limit(0), df, "label").count() == 0
+
+
+def mentions(docs, terms):
+    split = lambda t: re.findall("[a-z0-9]+", t.lower())
+    known = {" ".join(split(t)) for t in terms if t is not None} - {""}
+    longest = max((len(t.split()) for t in known), default=0)
+    return Counter((k, run) for k, t in docs if t is not None for w in [split(t)] for i in range(len(w)) for n in range(1, longest + 1) if i + n <= len(w) and (run := " ".join(w[i : i + n])) in known)
+
+
+def test_terms_of_any_length(spark):
+    docs = [(1, "Fire-retardant treated joist hanger type B, and a door. Door"), (2, "one two three four five six seven eight nine"), (3, None), (4, ""), (5, "six")]
+    terms = ["fire retardant treated joist hanger", "door", "ONE two three four five six seven eight nine", "six", None, "..."]
+    df = spark.createDataFrame(docs, "k int, t string")
+    found = lambda x: {(r.k, r.term): r.mentions for r in stream_text.term_mentions(df, "k", "t", spark.createDataFrame([(t,) for t in x], "n string"), "n").collect()}
+    assert found(terms) == mentions(docs, terms) and (2, "one two three four five six seven eight nine") in found(terms)
+    assert found([None, "-"]) == {}
+
+
+def test_term_mentions_of_the_documents(spark):
+    want = mentions([(r["doc_id"], r["text"]) for r in rows("documents")], [r["label"] for r in rows("source_text_section")])
+    assert {(r.doc_id, r.term): r.mentions for r in entry.queries()["term_mentions"](spark, SF).collect()} == want
