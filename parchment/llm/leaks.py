@@ -53,11 +53,12 @@ class Walk:
         self.places = sorted(r.sample(range(self.steps), min(bits, self.steps)))
         self.mix = np.uint64(r.getrandbits(64) | 1)
 
-    def keys(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The keys of the windows of ``symbols`` that begin at ``starts``."""
-        padded = np.concatenate([symbols, np.full(self.size + 1, _PAD, np.uint64)])
+    def keys(self, symbols: np.ndarray, starts: np.ndarray, length: int | None = None) -> np.ndarray:
+        """The keys of the windows of ``symbols`` that begin at ``starts``, of ``size`` words or of another ``length``."""
+        length = self.size if length is None else length
+        padded = np.concatenate([symbols, np.full(length + 1, _PAD, np.uint64)])
         at, key = starts.astype(np.int64).copy(), np.zeros(len(starts), np.uint64)
-        end = at + self.size
+        end = at + length
         sampled, last = set(self.places), self.places[-1]
         with np.errstate(over="ignore"):
             for j in range(last + 1):
@@ -102,12 +103,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "t
     """(doc, item, windows): documents that hold a passage of ``size`` consecutive words of an item, within ``max_edits`` edits.
 
     Every window of every item is embedded and keyed; so is every window of every document,
-    whole texts, where it is read. Windows that share a key of any repetition are candidates;
+    whole texts, where it is read. As an edit may add or drop a word, document windows have
+    from ``max_edits`` words less than ``size`` to as many more; ``windows`` counts the places
+    where one begins. Windows that share a key of any repetition are candidates;
     each is verified on its words. With max_edits 0 recall is 1 by construction, otherwise
     ``repetitions`` of ``recall``. Items with fewer words than ``size``, null and empty texts
     leak nothing; rows repeated on either side give one result row. Items are broadcast in
     blocks of at most BLOCK windows, so nothing that grows is held whole.
     """
+    lengths = range(max(1, size - max_edits), size + max_edits + 1)
     walks = [Walk(size, bits, seed + t) for t in range(repetitions(size, bits, max_edits, recall))]
     spark = docs.sparkSession
     kind, item_kind = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
@@ -136,21 +140,22 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "t
                     sizes = np.array([len(t) for t in texts])
                     first = np.concatenate([[0], np.cumsum(sizes)])
                     sym = np.fromiter((hashes[w] for t in texts for w in t), np.uint64, int(first[-1]))
-                    which = np.repeat(np.arange(len(texts)), np.maximum(sizes - size + 1, 0))
-                    starts = np.concatenate([first[i] + np.arange(max(0, n - size + 1)) for i, n in enumerate(sizes)]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
                     hits: dict[tuple[int, object], set[int]] = {}
-                    for w, o, r in zip(walks, order, ranked):
-                        keys = w.keys(sym, starts)
-                        lo = np.searchsorted(r, keys, "left")
-                        for x in np.flatnonzero((lo < len(r)) & (r[np.minimum(lo, len(r) - 1)] == keys)):
-                            d, s = int(which[x]), int(starts[x])
-                            own = texts[d][s - first[d] : s - first[d] + size]
-                            i = int(lo[x])
-                            while i < len(r) and r[i] == keys[x]:
-                                k = int(o[i])
-                                if edits(own, words[k], max_edits) <= max_edits:
-                                    hits.setdefault((d, owner[k]), set()).add(s)
-                                i += 1
+                    for length in lengths:
+                        which = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
+                        starts = np.concatenate([first[i] + np.arange(max(0, n - length + 1)) for i, n in enumerate(sizes)]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
+                        for w, o, r in zip(walks, order, ranked):
+                            keys = w.keys(sym, starts, length)
+                            lo = np.searchsorted(r, keys, "left")
+                            for x in np.flatnonzero((lo < len(r)) & (r[np.minimum(lo, len(r) - 1)] == keys)):
+                                d, s = int(which[x]), int(starts[x])
+                                own = texts[d][s - first[d] : s - first[d] + length]
+                                i = int(lo[x])
+                                while i < len(r) and r[i] == keys[x]:
+                                    k = int(o[i])
+                                    if edits(own, words[k], max_edits) <= max_edits:
+                                        hits.setdefault((d, owner[k]), set()).add(s)
+                                    i += 1
                     ids = part.column(0).to_pylist()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([ids[d] for d, _ in hits], b.schema.field(0).type), pa.array([i for _, i in hits], item_type), pa.array([len(x) for x in hits.values()], pa.int64())], names=["doc", "item", "windows"]
