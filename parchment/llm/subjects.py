@@ -1,23 +1,41 @@
-"""Subject areas of documents: labels propagated over a verified similarity graph by iterative joins.
-
-Documents are similar through what their sentences share. The graph is kept factored, as
-document - sentence form - term, so that no pairs are ever listed: a form is a sentence's
-words without numbers, a term a word or two neighbouring ones. Each round joins labels down
-(documents to forms to terms) and up again (terms to forms to documents). An edge counts
-only if verified: a term must be used by several sources, often enough, and mostly with one
-subject. Trusted seeds (readers' labels that the text doesn't contradict, and the words of
-the subjects' own descriptions) are put back in every round.
+"""Subject areas of documents: labels propagated over a verified graph of similar documents.
+
+1. Texts become word hashes, sentence by sentence, once. A term is a word or two neighbouring
+   ones. It is topical if documents that hold it repeat it in further sentences far more
+   often than chance would have it, if several sources use it, and if readers' labels don't
+   show it to go with any subject.
+2. Documents are linked by MinHash: in each repetition those with the same least topical term
+   form a group and each is compared with the group's representative; the link is kept if
+   their term sets are similar enough, with the similarity as its weight. No pairs within a
+   group are listed, no link is dropped.
+3. Labels travel over the links by joins, rounds from documents to representatives and back.
+   A document keeps a distribution over subjects, so several survive. Seeds that their
+   neighbours bear out are trusted, and put back in every round and in the end.
+4. Each subject that reached a document is checked on its sentences: the terms' weights come
+   from the propagated distributions of all documents, a sentence deals with the subject for
+   which its topical terms speak clearly, and the subject must hold its share of those.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import strip
-from ..session import checkpointed, salted_join, spread
-from .normal import normalized
+from ..session import BROADCAST_ROWS, checkpointed, salted_join, spread, stored
+from .normal import transducer
 
-_WORD = r"\p{L}+"
+#: Words, and where a sentence ends: a line end, or . ! ? before a blank.
+_TOKENS = re.compile(r"[^\W\d_]+|[.!?](?=[ \n])|\n").findall
+#: Terms that one broadcast holds (8 bytes each); a larger table of them is joined by shuffle.
+TERM_ROWS = 2_000_000
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_MOST = 2**64 - 1
 
 
 def subject_form(c: Column) -> Column:
@@ -25,29 +43,184 @@ def subject_form(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", "_")
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+class _Words(dict):
+    """Hashes of words, 0 for what ends a sentence."""
+
+    def __missing__(self, w: str) -> int:
+        h = xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) >> 1 | 1 if w[0].isalpha() else 0
+        if len(self) < 1_000_000:
+            self[w] = h
+        return h
+
+
+def _mixed(x: np.ndarray, by: np.uint64 = _B) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * by
+        return x ^ (x >> np.uint64(29))
+
+
+def tokens(docs: DataFrame, doc: str, text: str, source: str, lang: str | None) -> DataFrame:
+    """(doc, source, lang, words): word hashes of each whole text, 0 between sentences; null texts have no row. Source and language hashed."""
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form, hashes = transducer(), _Words()
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                part = b.slice(at, 1_000)
+                words = [[hashes[w] for w in _TOKENS(form(t).lower())] for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(words, pa.list_(pa.int64()))], names=["doc", "source", "lang", "words"])
+
+    own = docs.select(F.col(f"`{doc}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{source}`"), F.lit(""))).alias("source"), F.xxhash64(F.lower(F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit(""))).alias("lang"), F.col(f"`{text}`").alias("text"))
+    return spread(own.where("doc is not null and text <> ''")).mapInArrow(run, f"doc {kind}, source long, lang long, words array<long>")
+
+
+def _occurrences(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document's index, sentence number, term) of every word and pair of neighbours in a sentence, each once a sentence."""
+    v = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes = np.diff(words.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    sent = np.cumsum(v == 0) + doc
+    word = np.flatnonzero(v)
+    two = word[:-1][(v[word[:-1] + 1] != 0) & (doc[word[:-1] + 1] == doc[word[:-1]])] if len(word) else word
+    with np.errstate(over="ignore"):
+        pairs = _mixed(v[two] * _A + v[np.minimum(two + 1, max(0, len(v) - 1))])
+    at, term = np.concatenate([word, two]), np.concatenate([v[word], pairs])
+    with np.errstate(over="ignore"):
+        first = np.unique(term ^ _mixed(sent[at].astype(np.uint64) * _C), return_index=True)[1]
+    return doc[at[first]], sent[at[first]], term[first]
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) that group equal keys."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    return order, np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+
+
+def _per_document(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, document's index, term, sentences with it), each pair once."""
+    for b in batches:
+        doc, _, term = _occurrences(b.column(column))
+        with np.errstate(over="ignore"):
+            order, starts = _groups(term ^ _mixed(doc.astype(np.uint64) * _C))
+        yield b, doc[order][starts], term[order][starts], np.diff(np.r_[starts, len(order)])
+
+
+def term_counts(words: DataFrame) -> DataFrame:
+    """(term, docs, again, chance, lo, hi): documents with the term, with it in several sentences, how many of these
+    chance would give (a term's sentences fall on the documents of a language as a Poisson process), its least and greatest source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, doc, term, n in _per_document(batches, 2):
+            lang = b.column(1).to_numpy()[doc]
+            with np.errstate(over="ignore"):
+                order, starts = _groups(term ^ _mixed(lang.view(np.uint64), _C))
+            if len(starts):
+                n, src = n[order], b.column(0).to_numpy()[doc[order]]
+                cols = [term[order][starts].view(np.int64), lang[order][starts], np.diff(np.r_[starts, len(order)]), np.add.reduceat((n > 1).astype(np.int64), starts), np.add.reduceat(n, starts), np.minimum.reduceat(src, starts), np.maximum.reduceat(src, starts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["term", "lang", "docs", "again", "sentences", "lo", "hi"])
+
+    rows = words.select("source", "lang", "words").mapInArrow(run, "term long, lang long, docs long, again long, sentences long, lo long, hi long")
+    own = rows.groupBy("term", "lang").agg(*[F.sum(c).alias(c) for c in ("docs", "again", "sentences")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rate = F.col("sentences") / F.col("size")
+    chance = F.col("docs") * (1 - F.exp(-rate) * (1 + rate)) / (1 - F.exp(-rate))
+    with_chance = own.join(words.groupBy("lang").agg(F.count("*").alias("size")), "lang").withColumn("chance", chance)
+    return with_chance.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "again", "chance")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
 
+def seed_counts(words: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(term, mass, top): labelled documents with a term, and how many of them go with its most frequent subject."""
 
-def term_keys(words: Column) -> Column:
-    """Hashes of a form's distinct words and neighbouring pairs."""
-    pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get(words, i), x))
-    return F.array_distinct(F.concat(F.transform(words, lambda x: F.xxhash64(x)), pairs))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, doc, term, _ in _per_document(batches, 2):
+            subject, share = b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
+            with np.errstate(over="ignore"):
+                order, starts = _groups(term ^ _mixed(subject.astype(np.uint64) * _C))
+            if len(starts):
+                yield pa.RecordBatch.from_arrays([pa.array(term[order][starts].view(np.int64)), pa.array(subject[order][starts], pa.int64()), pa.array(np.add.reduceat(share[order], starts))], names=["term", "subject", "mass"])
 
+    own = words.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds, "doc").select(F.col("subject").cast("long").alias("subject"), "share", "words")
+    return own.mapInArrow(run, "term long, subject long, mass double").groupBy("term", "subject").agg(F.sum("mass").alias("mass")).groupBy("term").agg(F.sum("mass").alias("mass"), F.max("mass").alias("top"))
 
-def sentences(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
-    """(doc, source, words) of every sentence with a word, the source hashed; parted at line ends and after . ! ?"""
-    # in the consistent form, blanks are spaces and line feeds only
-    parts = F.split(F.regexp_replace(normalized(F.col(f"`{text}`")), r"([.!?])[ \n]+", "$1\n"), r"\n+")
-    own = spread(docs.select(*[F.col(f"`{c}`").alias(c) for c in dict.fromkeys((doc, text, source))]))
-    rows = own.select(F.col(f"`{doc}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{source}`"), F.lit(""))).alias("source"), F.explode(parts).alias("s"))
-    return rows.select("doc", "source", F.array_join(words_of(F.col("s")), " ").alias("words")).where("words <> ''")
 
+_FEATURES = "array<long>, terms array<long>, sentences array<struct<class long, terms array<long>>>"
 
-#: Terms that a broadcast may hold; a larger term table is joined by shuffle.
-TERM_ROWS = 1_000_000
-#: A term counts from this share of all sentences, so there are at most (terms a sentence) / SHARE of them.
-SHARE = 5e-6
+
+def _featured(ids: pa.Array, doc: np.ndarray, sent: np.ndarray, term: np.ndarray, repetitions: int) -> pa.RecordBatch:
+    """A row for each document with a topical term: its terms, their least hash in each repetition, its sentences' terms and classes."""
+    n = len(ids)
+    order = np.lexsort((term, sent))
+    sent, term, of = sent[order], term[order], doc[order]
+    starts = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]]) if len(sent) else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        cls = np.add.reduceat(_mixed(term, _C), starts) if len(starts) else np.zeros(0, np.uint64)
+    inner = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(sent)], pa.int32()), pa.array(term.view(np.int64)))
+    struct = pa.StructArray.from_arrays([pa.array(cls.view(np.int64)), inner], names=["class", "terms"])
+    sentences = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[starts], np.arange(n + 1)), pa.int32()), struct)
+    with np.errstate(over="ignore"):
+        first = np.unique(term ^ _mixed(of.astype(np.uint64) * _C), return_index=True)[1]
+    first = first[np.lexsort((term[first], of[first]))]
+    of, term = of[first], term[first]
+    bounds = np.searchsorted(of, np.arange(n + 1))
+    full = np.flatnonzero(np.diff(bounds))
+    least = np.zeros((n, repetitions), np.uint64)
+    for r in range(repetitions):
+        if len(full):
+            least[full, r] = np.minimum.reduceat(_mixed(term + np.uint64((2 * r + 1) * int(_A) & _MOST), _B), bounds[full])
+    mins = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * repetitions, pa.int32()), pa.array(least.ravel().view(np.int64)))
+    terms = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(term.view(np.int64)))
+    return pa.RecordBatch.from_arrays([ids, mins, terms, sentences], names=["doc", "mins", "terms", "sentences"]).take(pa.array(full))
+
+
+def features(words: DataFrame, topical: DataFrame, repetitions: int) -> DataFrame:
+    """(doc, mins, terms, sentences) by topical terms; by one pass with them broadcast, or beyond TERM_ROWS by a shuffle join with the same result."""
+    kind = words.schema["doc"].dataType.simpleString()
+    if topical.count() <= TERM_ROWS:
+        held = words.sparkSession.sparkContext.broadcast(np.sort(np.array([r.term for r in topical.select("term").toLocalIterator()], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = held.value
+            for b in batches:
+                doc, sent, term = _occurrences(b.column(1))
+                if len(top):
+                    at = np.minimum(np.searchsorted(top, term.view(np.int64)), len(top) - 1)
+                    kept = top[at] == term.view(np.int64)
+                    yield _featured(b.column(0), doc[kept], sent[kept], term[kept], repetitions)
+
+        return words.select("doc", "words").mapInArrow(run, f"doc {kind}, mins {_FEATURES}")
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, sent, term = _occurrences(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(sent - sent.min() if len(sent) else sent, pa.int64()), pa.array(term.view(np.int64))], names=["doc", "sent", "term"])
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, flat = np.diff(b.column(1).offsets.to_numpy()), b.column(1).flatten()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            sent = flat.field(0).to_numpy()
+            yield _featured(b.column(0), doc, doc * (int(sent.max(initial=0)) + 1) + sent, flat.field(1).to_numpy().view(np.uint64), repetitions)
+
+    rows = words.select("doc", "words").mapInArrow(out, f"doc {kind}, sent long, term long").join(topical.select("term"), "term")
+    return rows.groupBy("doc").agg(F.collect_list(F.struct("sent", "term")).alias("x")).mapInArrow(back, f"doc {kind}, mins {_FEATURES}")
+
+
+def similar(rows: DataFrame, least: float) -> DataFrame:
+    """(doc, rep, weight): verified links of documents to the representatives of their groups.
+
+    A group is a repetition's documents with one least hash. Its representative, the document
+    with the least hash of its own, comes from a map-side aggregate; a group that holds a third of all
+    documents joins back by broadcast or salted. Jaccard similarity of the topical terms must
+    reach ``least``.
+    """
+    placed = rows.select("doc", "terms", F.posexplode("mins").alias("rep_no", "key"))
+    groups = placed.groupBy("rep_no", "key").agg(F.min_by(F.struct("doc", "terms"), F.struct(F.xxhash64("doc", "rep_no"), "doc")).alias("r"), F.count("*").alias("n")).where("n > 1")
+    reps = checkpointed(groups.select("rep_no", "key", F.col("r.doc").alias("rep"), F.col("r.terms").alias("theirs")))
+    met = placed.join(F.broadcast(reps), ["rep_no", "key"]) if reps.count() <= BROADCAST_ROWS // 4 else salted_join(placed, reps, ["rep_no", "key"], "doc")
+    both = F.size(F.array_intersect("terms", "theirs"))
+    links = met.where("doc <> rep").select("doc", "rep", (both / (F.size("terms") + F.size("theirs") - both)).alias("weight"))
+    return links.where(F.col("weight") >= least)
 
 
 class Subjects:
@@ -57,7 +230,11 @@ class Subjects:
     of a document that isn't there, is no seed; repeated labels are one.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", rounds: int = 4, threshold: float = 2.2, purity: float = 0.6, least: int = 4, smooth: float = 2.0) -> None:
+    def __init__(
+        self, docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", lang: str | None = "lang", rounds: int = 4, repetitions: int = 8,
+        similarity: float = 0.05, again: float = 2.5, threshold: float = 2.2, purity: float = 0.6, least: int = 4, smooth: float = 2.0, reach: float = 0.004,
+    ) -> None:
+        """``again``: by how much the odds that a topical term is repeated exceed chance. ``reach``: share of a document's propagated labels from which a subject is a candidate."""
         keys = areas.select(subject_form(F.col("subject_key")).alias("name"), "subject_key", "title", "description").where("name is not null").dropDuplicates(["name"])
         n = keys.count()
         if n > 10_000:
@@ -65,74 +242,94 @@ class Subjects:
         # a small fixed table: one window over all of it
         self.keys = checkpointed(keys.withColumn("subject", F.row_number().over(Window.orderBy("name"))))
         self.prior = 1 / max(1, n)
-        self.threshold, self.purity, self.least, self.smooth = threshold, purity, least, smooth
-        seeds = labels.select(F.col("doc_id").alias("doc"), subject_form(F.col("subject_key")).alias("name")).where("doc is not null").join(F.broadcast(self.keys.select("name", "subject")), "name").select("doc", "subject").distinct()
-        self.seeds = checkpointed(seeds.withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc"))))
-        # the texts are parted once; everything after reads this
-        sent = checkpointed(sentences(docs, doc, text, source).withColumn("form", F.xxhash64("words")))
-        self.placed = sent.select("doc", "form")
-        forms = sent.groupBy("form").agg(F.min("words").alias("words"), F.count("*").cast("int").alias("n"), F.min("source").alias("lo"), F.max("source").alias("hi"))
-        forms = forms.select("form", "n", "lo", "hi", F.explode(term_keys(F.split("words", " "))).alias("term"))
-        spread = forms.groupBy("term").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        size = sent.agg(F.count("*").alias("n"), (F.min("source") != F.max("source")).alias("several")).first()
-        # an edge counts only if its term is frequent enough and used by several sources, where there are several
-        verified = checkpointed(spread.where(f"n >= {max(2, round(SHARE * size.n))}" + (" and lo <> hi" if size.several else "")).select("term"))
-        self.terms = self._small(verified)
-        self.forms = checkpointed(forms.select("form", "n", "term").join(self.terms, "term").groupBy("form").agg(F.max("n").alias("n"), F.collect_list("term").alias("terms")))
-        # the subjects' own words, counted as two sentences each
-        own = self.keys.select("subject", F.explode(term_keys(words_of(F.concat_ws(" . ", "title", "description")))).alias("term"))
-        shared = own.groupBy("term").agg(F.count("*").alias("k"))
-        self.own = own.join(shared.where(f"k <= {max(1, n // 4)}"), "term").join(self.terms, "term").select("term", "subject", (2 / F.col("k")).alias("mass"))
-        weights = self._weights(self._form_mass(None), 2, 0.45)
+        self.threshold, self.purity, self.least, self.smooth, self.reach = threshold, purity, least, smooth, reach
+        words = stored(tokens(docs, doc, text, source, lang if lang in docs.columns else None))
+        named = labels.select(F.col("doc_id").alias("doc"), subject_form(F.col("subject_key")).alias("name")).where("doc is not null").join(F.broadcast(self.keys.select("name", "subject")), "name").select("doc", "subject").distinct()
+        seeds = checkpointed(named.join(words.select("doc"), "doc", "left_semi").withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc"))))
+        several = words.agg((F.min("source") != F.max("source")).alias("several")).first().several
+        often = term_counts(words).where(f"again >= 2 and again * (docs - chance) >= {again} * chance * (docs - again)")
+        # a term that all documents of one source share is that source's own, unless there is only one source
+        often = often.where("lo <> hi") if several else often
+        spoken = seed_counts(words, seeds).where(F.col("mass") >= least)
+        topical = checkpointed(often.join(spoken, "term", "left").where(f"mass is null or top >= {0.4} * mass").select("term"))
+        self.rows = stored(features(words, topical, repetitions))
+        self.links = checkpointed(similar(self.rows.select("doc", "mins", "terms"), similarity))
+        self.hubs = self.links.select("rep").distinct().count()
+        self.seeds = checkpointed(self._trusted(seeds))
+        self.labels = self._propagated(rounds)
+        self.classes = self._classes(self.labels)
+
+    def _few(self, df: DataFrame) -> DataFrame:
+        """Representatives' labels: broadcast if there are few representatives."""
+        return F.broadcast(df) if self.hubs <= BROADCAST_ROWS else df
+
+    def _up(self, labels: DataFrame) -> DataFrame:
+        """(rep, subject, mass) from the members' labels; added up before the shuffle."""
+        return self.links.join(labels, "doc").groupBy("rep", "subject").agg(F.sum(F.col("weight") * F.col("share")).alias("mass"))
+
+    def _trusted(self, seeds: DataFrame) -> DataFrame:
+        """Seeds that the other labelled documents near them bear out; those without such neighbours are trusted."""
+        up = checkpointed(self._up(seeds))
+        # what a representative knows, without the document's own word; a representative's own label counts too
+        near = self.links.join(seeds.select("doc").distinct(), "doc", "left_semi").join(self._few(up), "rep").join(seeds.select("doc", "subject", "share"), ["doc", "subject"], "left")
+        seen = near.groupBy("doc", "subject").agg(F.sum(F.col("weight") * (F.col("mass") - F.coalesce("share", F.lit(0.0)) * F.col("weight"))).alias("mass")).where("mass > 1e-9")
+        seen = seen.withColumn("part", F.col("mass") / F.sum("mass").over(Window.partitionBy("doc")))
+        told = seen.groupBy("doc").agg(F.sum("mass").alias("all"))
+        kept = seeds.join(told, "doc", "left").join(seen.select("doc", "subject", "part"), ["doc", "subject"], "left").where("all is null or part >= 0.1")
+        return kept.select("doc", "subject").withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc")))
+
+    def _clamped(self, labels: DataFrame) -> DataFrame:
+        """A seed's subjects hold half of its document's distribution, whatever came over the links; the rest stays, as a reader may have named one subject of several."""
+        rest = labels.join(self.seeds.groupBy("doc").agg(F.lit(0.5).alias("kept")), "doc", "left").select("doc", "subject", (F.col("share") * F.coalesce("kept", F.lit(1.0))).alias("share"))
+        own = self.seeds.select("doc", "subject", (F.col("share") / 2).alias("share"))
+        return rest.unionByName(own).groupBy("doc", "subject").agg(F.sum("share").alias("share"))
+
+    def _propagated(self, rounds: int) -> DataFrame:
+        """(doc, subject, share) after ``rounds``, seeds clamped in each of them and in the end."""
+        labels = self.seeds
         for _ in range(rounds):
-            weights = self._weights(self._form_mass(self._classes(weights)), least, purity)
-        self.classes = self._classes(weights)
-
-    @staticmethod
-    def _small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= TERM_ROWS else df
-
-    def _shares(self, counts: DataFrame) -> DataFrame:
-        """(doc, subject, share): documents' distributions over their classified sentences and trusted labels."""
-        # a label is trusted where the text bears it out, or says nothing yet
-        has = counts.groupBy("doc").agg(F.collect_list("subject").alias("seen"))
-        trusted = self.seeds.join(has, "doc", "left").where("seen is null or array_contains(seen, subject)").select("doc", "subject", F.lit(1).cast("long").alias("n"))
-        both = counts.unionByName(trusted).groupBy("doc", "subject").agg(F.sum("n").alias("n"))
-        return both.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc"))).select("doc", "subject", "share")
-
-    def _marked(self, classes: DataFrame) -> DataFrame:
-        """Documents' sentences with their forms' subjects; a form that a third of all documents repeat is salted."""
-        return salted_join(self.placed, classes.select("form", "subject"), ["form"], "doc", "left", salts=4)
-
-    def _form_mass(self, classes: DataFrame | None) -> DataFrame:
-        """(form, subject, mass): a classified form's sentences, any other's share of its documents' distributions."""
-        if classes is None:
-            return self.placed.join(self.seeds, "doc").groupBy("form", "subject").agg(F.sum("share").alias("mass"))
-        marked = checkpointed(self._marked(classes))
-        shares = self._shares(marked.where("subject is not null").groupBy("doc", "subject").agg(F.count("*").alias("n")))
-        down = marked.where("subject is null").select("doc", "form").join(shares, "doc").groupBy("form", "subject").agg(F.sum("share").alias("mass"))
-        return classes.select("form", "subject", F.col("n").cast("double").alias("mass")).unionByName(down)
-
-    def _weights(self, mass: DataFrame, least: int, purity: float) -> DataFrame:
-        """(term, subject, weight) of the terms that go mostly with one subject."""
-        by = mass.groupBy("form").agg(F.collect_list(F.struct("subject", "mass")).alias("m"))  # at most one entry a subject
-        sums = self.forms.join(by, "form").select(F.explode("terms").alias("term"), "m").select("term", F.inline("m")).groupBy("term", "subject").agg(F.sum("mass").alias("mass"))
-        top = sums.unionByName(self.own).groupBy("term", "subject").agg(F.sum("mass").alias("mass")).groupBy("term").agg(F.sum("mass").alias("all"), F.max(F.struct("mass", "subject")).alias("t"))
+            up = self._up(labels).unionByName(labels.join(self.links.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("rep"), "subject", F.col("share").alias("mass")))
+            hub = up.groupBy("rep", "subject").agg(F.sum("mass").alias("mass")).withColumn("part", F.col("mass") / F.sum("mass").over(Window.partitionBy("rep")))
+            hub = checkpointed(hub.where(f"part >= {self.reach}").select("rep", "subject", "part"))
+            down = self.links.join(self._few(hub), "rep").groupBy("doc", "subject").agg(F.sum(F.col("weight") * F.col("part")).alias("mass"))
+            met = down.unionByName(hub.select(F.col("rep").alias("doc"), "subject", F.col("part").alias("mass"))).groupBy("doc", "subject").agg(F.sum("mass").alias("mass"))
+            share = met.withColumn("share", F.col("mass") / F.sum("mass").over(Window.partitionBy("doc"))).where(F.col("share") >= self.reach).select("doc", "subject", "share")
+            labels = checkpointed(self._clamped(share))
+        return labels
+
+    def _weights(self, mass: DataFrame, terms: DataFrame, least: int, purity: float) -> DataFrame:
+        """(term, subject, weight) of the terms that go mostly with one subject; ``mass``: (class, subject, mass)."""
+        sums = terms.join(mass, "class").groupBy("term", "subject").agg(F.sum("mass").alias("mass"))
+        top = sums.groupBy("term").agg(F.sum("mass").alias("all"), F.max(F.struct("mass", "subject")).alias("t"))
         p = (F.col("t.mass") + self.smooth * self.prior) / (F.col("all") + self.smooth)
         kept = top.withColumn("p", p).where((F.col("all") >= least) & (F.col("p") >= purity))
-        return checkpointed(kept.select("term", F.col("t.subject").alias("subject"), (F.log(F.col("p") / self.prior) * F.col("p")).cast("float").alias("weight")))
+        return checkpointed(kept.select("term", F.col("t.subject").alias("subject"), (F.log(F.col("p") / self.prior) * F.col("p")).alias("weight")))
 
-    def _classes(self, weights: DataFrame) -> DataFrame:
-        """(form, n, subject) of the forms whose terms speak clearly for one subject."""
-        scores = self.forms.select("form", "n", F.explode("terms").alias("term")).join(self._small(weights), "term").groupBy("form", "n", "subject").agg(F.round(F.sum("weight"), 4).alias("w"))
-        best = scores.groupBy("form", "n").agg(F.max(F.struct("w", "subject")).alias("b"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
+    def _spoken(self, weights: DataFrame, terms: DataFrame) -> DataFrame:
+        """(class, subject) of the sentence classes whose terms speak clearly for one subject."""
+        w = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
+        scores = terms.join(w, "term").groupBy("class", "subject").agg(F.round(F.sum("weight"), 4).alias("w"))
+        best = scores.groupBy("class").agg(F.max(F.struct("w", "subject")).alias("b"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
         clear = (F.col("b.w") >= self.threshold) & (F.col("b.w") >= 1.5 * F.coalesce(F.get("ws", F.lit(1)), F.lit(0.0)))
-        return checkpointed(best.where(clear).select("form", "n", F.col("b.subject").alias("subject")))
+        return checkpointed(best.where(clear).select("class", F.col("b.subject").alias("subject")))
+
+    def _classes(self, labels: DataFrame) -> DataFrame:
+        """Sentence classes with their subjects, by weights from all documents' propagated labels, then once more from the classes found."""
+        self.placed = self.rows.select("doc", F.explode("sentences.class").alias("class"))
+        classes = checkpointed(self.rows.select(F.inline("sentences")).groupBy("class").agg(F.any_value("terms").alias("terms"), F.count("*").alias("n")))
+        terms = classes.select("class", F.explode("terms").alias("term"))
+        mass = checkpointed(self.placed.join(labels, "doc").groupBy("class", "subject").agg(F.sum("share").alias("mass")))
+        found = self._spoken(self._weights(mass, terms, 2, 0.45), terms)
+        sure = found.join(classes.select("class", "n"), "class").select("class", "subject", F.col("n").cast("double").alias("mass"))
+        rest = mass.join(found.select("class"), "class", "left_anti")
+        return self._spoken(self._weights(sure.unionByName(rest), terms, self.least, self.purity), terms)
 
     def documents(self, share: float = 0.25) -> DataFrame:
-        """(doc, subject_key, share): subjects of at least ``share`` of a document's sentences with any subject."""
-        counts = self._marked(self.classes).where("subject is not null").groupBy("doc", "subject").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc")))
-        return counts.where(F.col("share") >= share - 1e-12).join(F.broadcast(self.keys.select("subject", "subject_key")), "subject").select("doc", "subject_key", "share")
+        """(doc, subject_key, share): subjects that reached a document and hold ``share`` of its sentences with any subject."""
+        found = self.placed.join(F.broadcast(self.classes), "class") if self.classes.count() <= BROADCAST_ROWS else salted_join(self.placed, self.classes, ["class"], "doc")
+        counts = found.groupBy("doc", "subject").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc")))
+        kept = counts.where(F.col("share") >= share - 1e-12).join(self.labels.select("doc", "subject"), ["doc", "subject"], "left_semi")
+        return kept.join(F.broadcast(self.keys.select("subject", "subject_key")), "subject").select("doc", "subject_key", "share")
 
     def makeup(self, share: float = 0.25) -> DataFrame:
         """(subject_key, documents, weight): how many documents deal with each subject, whole and by shares."""
