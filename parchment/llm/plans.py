@@ -19,11 +19,11 @@ def p1_normal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _repeated(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.repeated_lines(table(spark, d, "evidence"), "evidence_id", "source_id", "text")
+    return boilerplate.repeated_lines(table(spark, d, "evidence"), "evidence_id", "source_id", "text", date="extracted_at")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of p2 are the distinct evidence_id, so deliveries collapse by id."""
+    """Counted over clusters with their multiplicities, as each evidence_id counts in p2."""
     return _repeated(spark, d).select(F.col("doc").alias("evidence_id"), "line_no")
 
 
@@ -34,8 +34,8 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated lines counted over clusters of equal text and on at least three days."""
-    return boilerplate.repeated_lines(table(spark, d, "evidence"), "evidence_id", "source_id", "text", date="extracted_at", by_text=True, min_dates=3)
+    """Repeated lines counted over clusters of equal text and on at least two days."""
+    return boilerplate.repeated_lines(table(spark, d, "evidence"), "evidence_id", "source_id", "text", date="extracted_at", by_cluster=True, min_dates=2)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,15 +51,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), "doc_id", "item_id").withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), "doc_id", "item_id")
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    """Of the passages within an edit, those without one."""
+    return _leaks(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, d: str) -> DataFrame:
     """Passages of 12 words within one edit."""
-    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), "doc_id", "item_id", max_edits=1)
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return _leaks(spark, d)
 
 
 def _subjects(spark: SparkSession, d: str) -> subjects.Subjects:

@@ -1,3 +1,4 @@
+import datetime
 import random
 import re
 from collections import defaultdict
@@ -21,7 +22,7 @@ def key(line):
 def brute(rows, least, share):
     docs = {}
     for i, s, t in rows:
-        docs.setdefault(i, (s or "", t))
+        docs.setdefault(i, (s, t))
     total, seen = defaultdict(int), defaultdict(set)
     for i, (s, t) in docs.items():
         total[s] += 1
@@ -36,7 +37,7 @@ def test_against_brute_force(spark, monkeypatch, seed, bound):
     monkeypatch.setattr(boilerplate, "BROADCAST_ROWS", bound)
     r = random.Random(seed)
     pool = ["Share this page", "SHARE  THIS page", "Ｓhare this page 7", "Downloaded 3/4", "12 34", "", "Dооr", "Door", "rare ​line"]
-    rows = [(f"e{i}", r.choice(["s", "t", None]), None if r.random() < 0.1 else "\n".join(r.choice(pool) if r.random() < 0.6 else f"own words {chr(97 + i % 26)}{chr(97 + i // 26)}" for _ in range(r.randrange(5)))) for i in range(90)]
+    rows = [(f"e{i}", r.choice(["s", "t", None, ""]), None if r.random() < 0.1 else "\n".join(r.choice(pool) if r.random() < 0.6 else f"own words {chr(97 + i % 26)}{chr(97 + i // 26)}" for _ in range(r.randrange(5)))) for i in range(90)]
     rows += rows[:15]
     got = boilerplate.repeated_lines(frame(spark, rows), "evidence_id", "source_id", "text", min_docs=4, min_share=0.1)
     assert {(x.doc, x.line_no) for x in got.collect()} == brute(rows, 4, 0.1)
@@ -44,8 +45,18 @@ def test_against_brute_force(spark, monkeypatch, seed, bound):
 
 def test_republished_copies_are_one_cluster(spark):
     rows = [(f"e{i}", "s", "a republished article\nof two lines") for i in range(20)]
-    found = lambda by_text: boilerplate.repeated_lines(frame(spark, rows), "evidence_id", "source_id", "text", by_text=by_text).count()
-    assert found(False) == 40 and found(True) == 0
+    found = lambda by_cluster: boilerplate.repeated_lines(frame(spark, rows), "evidence_id", "source_id", "text", by_cluster=by_cluster).collect()
+    assert len(found(False)) == 40 and found(True) == [] and {(r.docs, r.clusters, r.total) for r in found(False)} == {(20, 1, 20)}
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_days(spark, least):
+    """A line of many documents of few days is kept; a null day is none."""
+    day = lambda n: None if n is None else datetime.datetime(2024, 1, n)
+    rows = [(f"{k}{i}", "s", f"{k} notice\nbody {chr(97 + i)}", day(days[i % len(days)])) for k, days in (("one", [1]), ("two", [1, 2]), ("three", [1, 2, 3]), ("none", [None])) for i in range(6)]
+    df = spark.createDataFrame(rows, "evidence_id string, source_id string, text string, at timestamp_ntz")
+    got = boilerplate.repeated_lines(df, "evidence_id", "source_id", "text", date="at", by_cluster=True, min_dates=least).collect()
+    assert {r.doc.rstrip("012345") for r in got} == {"two", "three"} - ({"two"} if least == 3 else set())
 
 
 def test_removal_and_empty(spark):
