@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ _WIDTHLESS = [(0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xA
 WIDTHLESS = frozenset(chr(c) for a, b in _WIDTHLESS for c in range(a, b + 1))
 #: What a JVM filter may pass over: plain ASCII and line feeds are fixed points of the transducer.
 UNPLAIN = r"[^\n\x20-\x7E]"
+_CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]").search
 _JOINING = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}]")
 _LATIN = regex.compile(r"\p{Latin}")
 _CLUSTER = regex.compile(r"\X")
@@ -119,7 +121,7 @@ class Transducer:
         return got
 
     def __call__(self, text: str) -> str:
-        return text if text.isascii() and text.isprintable() else self.token.sub(self._one, text)
+        return text if text.isascii() and not _CONTROL(text) else self.token.sub(self._one, text)
 
 
 _SHARED: list[Transducer] = []

@@ -75,56 +75,64 @@ def tokens(docs: DataFrame, doc: str, text: str, source: str, lang: str | None)
     return spread(own.where("doc is not null and text <> ''")).mapInArrow(run, f"doc {kind}, source long, lang long, words array<long>")
 
 
-def _occurrences(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document's index, sentence number, term) of every word and pair of neighbours in a sentence, each once a sentence."""
+def _placed(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words in a row with 0 between sentences, each one's document by index and sentence number)."""
     v = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     sizes = np.diff(words.offsets.to_numpy())
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    sent = np.cumsum(v == 0) + doc
-    word = np.flatnonzero(v)
-    two = word[:-1][(v[word[:-1] + 1] != 0) & (doc[word[:-1] + 1] == doc[word[:-1]])] if len(word) else word
-    with np.errstate(over="ignore"):
-        pairs = _mixed(v[two] * _A + v[np.minimum(two + 1, max(0, len(v) - 1))])
-    at, term = np.concatenate([word, two]), np.concatenate([v[word], pairs])
+    return v, doc, np.cumsum(v == 0) + doc
+
+
+def _neighbours(v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the words that another of the same sentence follows."""
+    return np.flatnonzero((v[:-1] != 0) & (v[1:] != 0) & (doc[1:] == doc[:-1])) if len(v) else np.zeros(0, np.int64)
+
+
+def _pairs(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        first = np.unique(term ^ _mixed(sent[at].astype(np.uint64) * _C), return_index=True)[1]
-    return doc[at[first]], sent[at[first]], term[first]
+        return _mixed(v[at] * _A + v[at + 1])
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts) that group equal keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     return order, np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
 
 
-def _per_document(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """(batch, document's index, term, sentences with it), each pair once."""
-    for b in batches:
-        doc, _, term = _occurrences(b.column(column))
-        with np.errstate(over="ignore"):
-            order, starts = _groups(term ^ _mixed(doc.astype(np.uint64) * _C))
-        yield b, doc[order][starts], term[order][starts], np.diff(np.r_[starts, len(order)])
+def _per_document(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document's index, term, whether several sentences have it) of every word and pair of neighbours, each once a document."""
+    v, doc, sent = _placed(words)
+    one, two = np.flatnonzero(v), _neighbours(v, doc)
+    at, term = np.concatenate([one, two]), np.concatenate([v[one], _pairs(v, two)])
+    with np.errstate(over="ignore"):
+        order, starts = _groups(term ^ _mixed(doc[at].astype(np.uint64) * _C))
+    if not len(starts):
+        return at, term, np.zeros(0, bool)
+    s = sent[at[order]]
+    return doc[at[order[starts]]], term[order[starts]], np.minimum.reduceat(s, starts) != np.maximum.reduceat(s, starts)
 
 
 def term_counts(words: DataFrame) -> DataFrame:
     """(term, docs, again, chance, lo, hi): documents with the term, with it in several sentences, how many of these
-    chance would give (a term's sentences fall on the documents of a language as a Poisson process), its least and greatest source."""
+    chance would give (as many documents hit by a Poisson process, in each language), its least and greatest source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, doc, term, n in _per_document(batches, 2):
+        for b in batches:
+            doc, term, again = _per_document(b.column(2))
             lang = b.column(1).to_numpy()[doc]
             with np.errstate(over="ignore"):
                 order, starts = _groups(term ^ _mixed(lang.view(np.uint64), _C))
             if len(starts):
-                n, src = n[order], b.column(0).to_numpy()[doc[order]]
-                cols = [term[order][starts].view(np.int64), lang[order][starts], np.diff(np.r_[starts, len(order)]), np.add.reduceat((n > 1).astype(np.int64), starts), np.add.reduceat(n, starts), np.minimum.reduceat(src, starts), np.maximum.reduceat(src, starts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["term", "lang", "docs", "again", "sentences", "lo", "hi"])
-
-    rows = words.select("source", "lang", "words").mapInArrow(run, "term long, lang long, docs long, again long, sentences long, lo long, hi long")
-    own = rows.groupBy("term", "lang").agg(*[F.sum(c).alias(c) for c in ("docs", "again", "sentences")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    rate = F.col("sentences") / F.col("size")
-    chance = F.col("docs") * (1 - F.exp(-rate) * (1 + rate)) / (1 - F.exp(-rate))
+                src = b.column(0).to_numpy()[doc[order]]
+                cols = [term[order[starts]].view(np.int64), lang[order[starts]], np.diff(np.r_[starts, len(order)]), np.add.reduceat(again[order].astype(np.int64), starts), np.minimum.reduceat(src, starts), np.maximum.reduceat(src, starts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["term", "lang", "docs", "again", "lo", "hi"])
+
+    rows = words.select("source", "lang", "words").mapInArrow(run, "term long, lang long, docs long, again long, lo long, hi long")
+    own = rows.groupBy("term", "lang").agg(*[F.sum(c).alias(c) for c in ("docs", "again")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # of documents hit with rate r, 1 - exp(-r) once or more, those hit twice or more
+    part = F.col("docs") / F.col("size")
+    chance = F.when(part < 1, F.col("docs") * (1 + (1 - part) * F.ln(1 - part) / part)).otherwise(F.col("docs"))
     with_chance = own.join(words.groupBy("lang").agg(F.count("*").alias("size")), "lang").withColumn("chance", chance)
     return with_chance.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "again", "chance")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
@@ -133,31 +141,32 @@ def seed_counts(words: DataFrame, seeds: DataFrame) -> DataFrame:
     """(term, mass, top): labelled documents with a term, and how many of them go with its most frequent subject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, doc, term, _ in _per_document(batches, 2):
+        for b in batches:
+            doc, term, _ = _per_document(b.column(2))
             subject, share = b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
             with np.errstate(over="ignore"):
                 order, starts = _groups(term ^ _mixed(subject.astype(np.uint64) * _C))
             if len(starts):
-                yield pa.RecordBatch.from_arrays([pa.array(term[order][starts].view(np.int64)), pa.array(subject[order][starts], pa.int64()), pa.array(np.add.reduceat(share[order], starts))], names=["term", "subject", "mass"])
+                yield pa.RecordBatch.from_arrays([pa.array(term[order[starts]].view(np.int64)), pa.array(subject[order[starts]], pa.int64()), pa.array(np.add.reduceat(share[order], starts))], names=["term", "subject", "mass"])
 
     own = words.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds, "doc").select(F.col("subject").cast("long").alias("subject"), "share", "words")
     return own.mapInArrow(run, "term long, subject long, mass double").groupBy("term", "subject").agg(F.sum("mass").alias("mass")).groupBy("term").agg(F.sum("mass").alias("mass"), F.max("mass").alias("top"))
 
 
-_FEATURES = "array<long>, terms array<long>, sentences array<struct<class long, terms array<long>>>"
+_FEATURES = "array<long>, terms array<long>, sentences array<array<long>>"
 
 
 def _featured(ids: pa.Array, doc: np.ndarray, sent: np.ndarray, term: np.ndarray, repetitions: int) -> pa.RecordBatch:
-    """A row for each document with a topical term: its terms, their least hash in each repetition, its sentences' terms and classes."""
+    """A row for each document with a topical term: its terms, their least hash in each repetition, its sentences' terms."""
     n = len(ids)
-    order = np.lexsort((term, sent))
-    sent, term, of = sent[order], term[order], doc[order]
-    starts = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]]) if len(sent) else np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        cls = np.add.reduceat(_mixed(term, _C), starts) if len(starts) else np.zeros(0, np.uint64)
+        once = np.unique(term ^ _mixed(sent.astype(np.uint64) * _C), return_index=True)[1]
+    once = once[np.lexsort((term[once], sent[once]))]
+    doc, sent, term = doc[once], sent[once], term[once]
+    of = doc
+    starts = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]]) if len(sent) else np.zeros(0, np.int64)
     inner = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(sent)], pa.int32()), pa.array(term.view(np.int64)))
-    struct = pa.StructArray.from_arrays([pa.array(cls.view(np.int64)), inner], names=["class", "terms"])
-    sentences = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[starts], np.arange(n + 1)), pa.int32()), struct)
+    sentences = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[starts], np.arange(n + 1)), pa.int32()), inner)
     with np.errstate(over="ignore"):
         first = np.unique(term ^ _mixed(of.astype(np.uint64) * _C), return_index=True)[1]
     first = first[np.lexsort((term[first], of[first]))]
@@ -173,8 +182,16 @@ def _featured(ids: pa.Array, doc: np.ndarray, sent: np.ndarray, term: np.ndarray
     return pa.RecordBatch.from_arrays([ids, mins, terms, sentences], names=["doc", "mins", "terms", "sentences"]).take(pa.array(full))
 
 
+def _known(top: np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = x.view(np.int64)
+    return top[np.minimum(np.searchsorted(top, x), len(top) - 1)] == x if len(top) else np.zeros(len(x), bool)
+
+
 def features(words: DataFrame, topical: DataFrame, repetitions: int) -> DataFrame:
-    """(doc, mins, terms, sentences) by topical terms; by one pass with them broadcast, or beyond TERM_ROWS by a shuffle join with the same result."""
+    """(doc, mins, terms, sentences) by topical terms; by one pass with them broadcast, or beyond TERM_ROWS by a shuffle join with the same result.
+
+    A pair of words counts where neither of them is topical by itself.
+    """
     kind = words.schema["doc"].dataType.simpleString()
     if topical.count() <= TERM_ROWS:
         held = words.sparkSession.sparkContext.broadcast(np.sort(np.array([r.term for r in topical.select("term").toLocalIterator()], np.int64)))
@@ -182,18 +199,24 @@ def features(words: DataFrame, topical: DataFrame, repetitions: int) -> DataFram
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = held.value
             for b in batches:
-                doc, sent, term = _occurrences(b.column(1))
-                if len(top):
-                    at = np.minimum(np.searchsorted(top, term.view(np.int64)), len(top) - 1)
-                    kept = top[at] == term.view(np.int64)
-                    yield _featured(b.column(0), doc[kept], sent[kept], term[kept], repetitions)
+                v, doc, sent = _placed(b.column(1))
+                own = _known(top, v) & (v != 0)
+                two = _neighbours(v, doc)
+                two = two[~own[two] & ~own[two + 1]]
+                pairs = _pairs(v, two)
+                kept = _known(top, pairs)
+                at = np.concatenate([np.flatnonzero(own), two[kept]])
+                yield _featured(b.column(0), doc[at], sent[at], np.concatenate([v[own], pairs[kept]]), repetitions)
 
         return words.select("doc", "words").mapInArrow(run, f"doc {kind}, mins {_FEATURES}")
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, sent, term = _occurrences(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(sent - sent.min() if len(sent) else sent, pa.int64()), pa.array(term.view(np.int64))], names=["doc", "sent", "term"])
+            v, doc, sent = _placed(b.column(1))
+            one, two = np.flatnonzero(v), _neighbours(v, doc)
+            at, sent = np.concatenate([one, two]), sent - (sent[0] if len(sent) else 0)
+            cols = [np.concatenate([v[one], _pairs(v, two)]), np.concatenate([np.zeros(len(one), np.uint64), v[two]]), np.concatenate([np.zeros(len(one), np.uint64), v[two + 1]])]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[at])), pa.array(sent[at], pa.int64()), *[pa.array(c.view(np.int64)) for c in cols]], names=["doc", "sent", "term", "a", "b"])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +225,10 @@ def features(words: DataFrame, topical: DataFrame, repetitions: int) -> DataFram
             sent = flat.field(0).to_numpy()
             yield _featured(b.column(0), doc, doc * (int(sent.max(initial=0)) + 1) + sent, flat.field(1).to_numpy().view(np.uint64), repetitions)
 
-    rows = words.select("doc", "words").mapInArrow(out, f"doc {kind}, sent long, term long").join(topical.select("term"), "term")
+    own = topical.select("term")
+    rows = words.select("doc", "words").mapInArrow(out, f"doc {kind}, sent long, term long, a long, b long").join(own, "term")
+    for c in ("a", "b"):
+        rows = rows.join(own.withColumnRenamed("term", c), c, "left_anti")
     return rows.groupBy("doc").agg(F.collect_list(F.struct("sent", "term")).alias("x")).mapInArrow(back, f"doc {kind}, mins {_FEATURES}")
 
 
@@ -223,6 +249,42 @@ def similar(rows: DataFrame, least: float) -> DataFrame:
     return links.where(F.col("weight") >= least)
 
 
+class Weights:
+    """Terms' subjects and weights as arrays, and what sentences say by them."""
+
+    def __init__(self, rows: list, threshold: float, margin: float = 1.5) -> None:
+        self.term, self.subject, self.weight = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        order = np.argsort(self.term)
+        self.term, self.subject, self.weight = self.term[order], self.subject[order], self.weight[order]
+        self.threshold, self.margin = threshold, margin
+
+    def spoken(self, sentences: pa.ListArray) -> np.ndarray:
+        """The subject for which each sentence's terms speak clearly: enough, and so much more than for the next one; 0 for none."""
+        flat = sentences.flatten()
+        sizes = np.diff(flat.offsets.to_numpy())
+        terms = flat.flatten().to_numpy()
+        out = np.zeros(len(sizes), np.int64)
+        if not len(self.term) or not len(terms):
+            return out
+        at = np.minimum(np.searchsorted(self.term, terms), len(self.term) - 1)
+        hit = self.term[at] == terms
+        sent, at = np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]
+        order = np.lexsort((self.subject[at], sent))
+        sent, at = sent[order], at[order]
+        subject = self.subject[at]
+        starts = np.flatnonzero(np.r_[True, (sent[1:] != sent[:-1]) | (subject[1:] != subject[:-1])]) if len(sent) else np.zeros(0, np.int64)
+        if len(starts):
+            w, sent, subject = np.round(np.add.reduceat(self.weight[at], starts), 6), sent[starts], subject[starts]
+            order = np.lexsort((-subject, -w, sent))
+            w, sent, subject = w[order], sent[order], subject[order]
+            first = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
+            after = np.minimum(first + 1, len(w) - 1)
+            second = np.where((after > first) & (sent[after] == sent[first]), w[after], 0.0)
+            clear = first[(w[first] >= self.threshold) & (w[first] >= self.margin * second)]
+            out[sent[clear]] = subject[clear]
+        return out
+
+
 class Subjects:
     """Fits the propagation on a corpus; ``documents()`` gives its subjects, ``makeup()`` the corpus by subject.
 
@@ -231,8 +293,8 @@ class Subjects:
     """
 
     def __init__(
-        self, docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", lang: str | None = "lang", rounds: int = 4, repetitions: int = 8,
-        similarity: float = 0.05, again: float = 2.5, threshold: float = 2.2, purity: float = 0.6, least: int = 4, smooth: float = 2.0, reach: float = 0.004,
+        self, docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", lang: str | None = "lang", rounds: int = 3, repetitions: int = 8,
+        similarity: float = 0.05, again: float = 2.5, threshold: float = 1.5, purity: float = 0.6, least: int = 4, smooth: float = 2.0, reach: float = 0.004,
     ) -> None:
         """``again``: by how much the odds that a topical term is repeated exceed chance. ``reach``: share of a document's propagated labels from which a subject is a candidate."""
         keys = areas.select(subject_form(F.col("subject_key")).alias("name"), "subject_key", "title", "description").where("name is not null").dropDuplicates(["name"])
@@ -257,7 +319,10 @@ class Subjects:
         self.hubs = self.links.select("rep").distinct().count()
         self.seeds = checkpointed(self._trusted(seeds))
         self.labels = self._propagated(rounds)
-        self.classes = self._classes(self.labels)
+        told = self.labels.where("share >= 0.1").groupBy("doc").agg(F.collect_list(F.struct(F.col("subject").cast("long").alias("subject"), "share")).alias("labels"))
+        empty = F.array().cast("array<struct<subject:bigint,share:double>>")
+        self.labelled = stored(self.rows.select("doc", "sentences").join(told, "doc", "left").select("doc", F.coalesce("labels", empty).alias("labels"), "sentences"))
+        self.weights = self._taught(least, purity)
 
     def _few(self, df: DataFrame) -> DataFrame:
         """Representatives' labels: broadcast if there are few representatives."""
@@ -290,45 +355,76 @@ class Subjects:
         for _ in range(rounds):
             up = self._up(labels).unionByName(labels.join(self.links.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("rep"), "subject", F.col("share").alias("mass")))
             hub = up.groupBy("rep", "subject").agg(F.sum("mass").alias("mass")).withColumn("part", F.col("mass") / F.sum("mass").over(Window.partitionBy("rep")))
-            hub = checkpointed(hub.where(f"part >= {self.reach}").select("rep", "subject", "part"))
+            hub = checkpointed(hub.where(f"part >= {2 * self.reach}").select("rep", "subject", "part"))
             down = self.links.join(self._few(hub), "rep").groupBy("doc", "subject").agg(F.sum(F.col("weight") * F.col("part")).alias("mass"))
             met = down.unionByName(hub.select(F.col("rep").alias("doc"), "subject", F.col("part").alias("mass"))).groupBy("doc", "subject").agg(F.sum("mass").alias("mass"))
             share = met.withColumn("share", F.col("mass") / F.sum("mass").over(Window.partitionBy("doc"))).where(F.col("share") >= self.reach).select("doc", "subject", "share")
             labels = checkpointed(self._clamped(share))
         return labels
 
-    def _weights(self, mass: DataFrame, terms: DataFrame, least: int, purity: float) -> DataFrame:
-        """(term, subject, weight) of the terms that go mostly with one subject; ``mass``: (class, subject, mass)."""
-        sums = terms.join(mass, "class").groupBy("term", "subject").agg(F.sum("mass").alias("mass"))
-        top = sums.groupBy("term").agg(F.sum("mass").alias("all"), F.max(F.struct("mass", "subject")).alias("t"))
+    def _weights(self, mass: DataFrame, least: int, purity: float) -> DataFrame:
+        """(term, subject, weight) of the terms that go mostly with one subject; ``mass``: (term, subject, mass)."""
+        top = mass.groupBy("term", "subject").agg(F.sum("mass").alias("mass")).groupBy("term").agg(F.sum("mass").alias("all"), F.max(F.struct("mass", "subject")).alias("t"))
         p = (F.col("t.mass") + self.smooth * self.prior) / (F.col("all") + self.smooth)
         kept = top.withColumn("p", p).where((F.col("all") >= least) & (F.col("p") >= purity))
-        return checkpointed(kept.select("term", F.col("t.subject").alias("subject"), (F.log(F.col("p") / self.prior) * F.col("p")).alias("weight")))
-
-    def _spoken(self, weights: DataFrame, terms: DataFrame) -> DataFrame:
-        """(class, subject) of the sentence classes whose terms speak clearly for one subject."""
-        w = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
-        scores = terms.join(w, "term").groupBy("class", "subject").agg(F.round(F.sum("weight"), 4).alias("w"))
-        best = scores.groupBy("class").agg(F.max(F.struct("w", "subject")).alias("b"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
-        clear = (F.col("b.w") >= self.threshold) & (F.col("b.w") >= 1.5 * F.coalesce(F.get("ws", F.lit(1)), F.lit(0.0)))
-        return checkpointed(best.where(clear).select("class", F.col("b.subject").alias("subject")))
-
-    def _classes(self, labels: DataFrame) -> DataFrame:
-        """Sentence classes with their subjects, by weights from all documents' propagated labels, then once more from the classes found."""
-        self.placed = self.rows.select("doc", F.explode("sentences.class").alias("class"))
-        classes = checkpointed(self.rows.select(F.inline("sentences")).groupBy("class").agg(F.any_value("terms").alias("terms"), F.count("*").alias("n")))
-        terms = classes.select("class", F.explode("terms").alias("term"))
-        mass = checkpointed(self.placed.join(labels, "doc").groupBy("class", "subject").agg(F.sum("share").alias("mass")))
-        found = self._spoken(self._weights(mass, terms, 2, 0.45), terms)
-        sure = found.join(classes.select("class", "n"), "class").select("class", "subject", F.col("n").cast("double").alias("mass"))
-        rest = mass.join(found.select("class"), "class", "left_anti")
-        return self._spoken(self._weights(sure.unionByName(rest), terms, self.least, self.purity), terms)
+        return checkpointed(kept.select("term", F.col("t.subject").cast("long").alias("subject"), (F.log(F.col("p") / self.prior) * F.col("p")).alias("weight")))
+
+    def _spoken(self, weights: DataFrame | None) -> DataFrame:
+        """(doc, labels, sentences, spoken): each sentence's subject by ``weights``, 0 for none; by one pass, or by shuffle joins beyond TERM_ROWS terms."""
+        if weights is None:
+            return self.labelled.withColumn("spoken", F.transform("sentences", lambda x: F.lit(0).cast("long")))
+        if weights.count() <= TERM_ROWS:
+            held = weights.sparkSession.sparkContext.broadcast(Weights([tuple(r) for r in weights.toLocalIterator()], self.threshold))
+            schema = self.labelled.schema.simpleString()[7:-1] + ",spoken:array<bigint>"
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    own = b.column(2)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy() - own.offsets[0].as_py(), pa.int32()), pa.array(held.value.spoken(own)))], names=["doc", "labels", "sentences", "spoken"])
+
+            return self.labelled.mapInArrow(run, schema)
+        terms = self.labelled.select("doc", F.posexplode("sentences").alias("n", "terms")).select("doc", "n", F.explode("terms").alias("term"))
+        sums = terms.join(weights, "term").groupBy("doc", "n", "subject").agg(F.round(F.sum("weight"), 6).alias("w"))
+        best = sums.groupBy("doc", "n").agg(F.max(F.struct("w", "subject")).alias("b"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
+        clear = best.where((F.col("b.w") >= self.threshold) & (F.col("b.w") >= 1.5 * F.coalesce(F.get("ws", F.lit(1)), F.lit(0.0))))
+        said = clear.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("n", "b.subject"))).alias("m"))
+        return self.labelled.join(said, "doc", "left").select("doc", "labels", "sentences", F.transform("sentences", lambda x, i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("spoken"))
+
+    def _mass(self, weights: DataFrame | None) -> DataFrame:
+        """(term, subject, mass): a term's sentences with a subject of their own, any other by its document's labels; added up in each batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                labels, own = b.column(1), b.column(2)
+                flat = own.flatten()
+                per_sent, terms = np.diff(flat.offsets.to_numpy()), flat.flatten().to_numpy()
+                doc = np.repeat(np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy())), per_sent)
+                spoken = np.repeat(b.column(3).flatten().to_numpy(), per_sent)
+                many, first = np.diff(labels.offsets.to_numpy()), labels.offsets.to_numpy()[:-1] - labels.offsets[0].as_py()
+                subject, share = labels.flatten().field(0).to_numpy(), labels.flatten().field(1).to_numpy()
+                rest = np.flatnonzero(spoken == 0)
+                n = many[doc[rest]]
+                place = np.repeat(first[doc[rest]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                t = np.concatenate([terms[spoken > 0], np.repeat(terms[rest], n)])
+                s = np.concatenate([spoken[spoken > 0], subject[place]])
+                m = np.concatenate([np.ones(int((spoken > 0).sum())), share[place]])
+                with np.errstate(over="ignore"):
+                    order, starts = _groups(t.view(np.uint64) ^ _mixed(s.astype(np.uint64) * _C))
+                if len(starts):
+                    yield pa.RecordBatch.from_arrays([pa.array(t[order[starts]]), pa.array(s[order[starts]], pa.int64()), pa.array(np.add.reduceat(m[order], starts))], names=["term", "subject", "mass"])
+
+        return self._spoken(weights).mapInArrow(run, "term long, subject long, mass double")
+
+    def _taught(self, least: int, purity: float) -> DataFrame:
+        """Term weights from all documents' propagated labels, then once more with the sentences that speak clearly."""
+        return self._weights(self._mass(self._weights(self._mass(None), 2, 0.45)), least, purity)
 
     def documents(self, share: float = 0.25) -> DataFrame:
         """(doc, subject_key, share): subjects that reached a document and hold ``share`` of its sentences with any subject."""
-        found = self.placed.join(F.broadcast(self.classes), "class") if self.classes.count() <= BROADCAST_ROWS else salted_join(self.placed, self.classes, ["class"], "doc")
-        counts = found.groupBy("doc", "subject").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc")))
-        kept = counts.where(F.col("share") >= share - 1e-12).join(self.labels.select("doc", "subject"), ["doc", "subject"], "left_semi")
+        said = self._spoken(self.weights).select("doc", F.explode(F.filter("spoken", lambda x: x > 0)).alias("subject"))
+        counts = said.groupBy("doc", "subject").agg(F.count("*").alias("n"))
+        every = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc")))
+        kept = every.where(F.col("share") >= share - 1e-12).join(self.labels.select("doc", "subject"), ["doc", "subject"], "left_semi")
         return kept.join(F.broadcast(self.keys.select("subject", "subject_key")), "subject").select("doc", "subject_key", "share")
 
     def makeup(self, share: float = 0.25) -> DataFrame:

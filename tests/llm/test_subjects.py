@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from parchment.llm import subjects
 
 D = "doc_id long, text string, source string, subject string, term string"
@@ -25,7 +27,10 @@ def corpus(seed):
     return docs + [(500, None, "src1", "", ""), (501, "", "src2", "", ""), (502, "1 2 3", None, "", "")], labels, truth
 
 
-def test_held_out_documents(spark):
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_held_out_documents(spark, monkeypatch, bound):
+    """Terms broadcast, or joined by shuffle."""
+    monkeypatch.setattr(subjects, "TERM_ROWS", bound)
     docs, labels, truth = corpus(4)
     fit = subjects.Subjects(spark.createDataFrame(docs, D), spark.createDataFrame(labels, "doc_id long, subject_key string"), spark.createDataFrame(AREAS, "subject_key string, title string, description string"), rounds=2)
     got = {(r.doc, r.subject_key) for r in fit.documents().collect()}
@@ -34,6 +39,23 @@ def test_held_out_documents(spark):
     assert sum(makeup.values()) == len(got)
 
 
+def test_links_are_verified(spark):
+    """Every link's weight is the Jaccard similarity of the two documents' terms; documents without common terms have none."""
+    docs, labels, _ = corpus(6)
+    fit = subjects.Subjects(spark.createDataFrame(docs, D), spark.createDataFrame(labels, "doc_id long, subject_key string"), spark.createDataFrame(AREAS, "subject_key string, title string, description string"), rounds=1)
+    terms = {r.doc: set(r.terms) for r in fit.rows.select("doc", "terms").collect()}
+    links = fit.links.collect()
+    assert len(links) > 200 and all(abs(r.weight - len(terms[r.doc] & terms[r.rep]) / len(terms[r.doc] | terms[r.rep])) < 1e-9 and r.weight >= 0.05 for r in links)
+
+
+def test_seeds_are_clamped(spark):
+    docs, labels, _ = corpus(8)
+    fit = subjects.Subjects(spark.createDataFrame(docs, D), spark.createDataFrame(labels, "doc_id long, subject_key string"), spark.createDataFrame(AREAS, "subject_key string, title string, description string"), rounds=2)
+    got = {(r.doc, r.subject): r.share for r in fit.labels.collect()}
+    seeds = fit.seeds.collect()
+    assert len(seeds) > 15 and all(got[r.doc, r.subject] >= r.share / 2 - 1e-9 for r in seeds)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], D)
     areas = spark.createDataFrame(AREAS, "subject_key string, title string, description string")
