@@ -10,9 +10,7 @@ from ..session import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    e, a, m = (table(spark, d, f"hierarchy_{t}") for t in ("expected", "actual", "mismatch"))
-    found = copies.hierarchy_differences(e, a).select("publication_key", "locator", "code")
-    return found.unionByName(copies.outdated_reports(m, e, "expected")).unionByName(copies.outdated_reports(m, a, "actual"))
+    return copies.hierarchy_findings(*(table(spark, d, f"hierarchy_{t}") for t in ("expected", "actual", "mismatch")))
 
 
 def p3_fields(spark: SparkSession, d: str) -> DataFrame:
