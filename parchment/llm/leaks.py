@@ -170,15 +170,27 @@ class Finder:
         return sym, out
 
 
-def _near(sym: np.ndarray, length: int, starts: np.ndarray, theirs: np.ndarray, most: int) -> np.ndarray:
-    """Edit distances of document windows and item windows of word hashes (a row each), ``most`` + 1 beyond."""
-    own = sym[starts[:, None] + np.arange(length)]
-    out = np.full(len(starts), most + 1)
-    if length == theirs.shape[1]:
-        out[(own == theirs).all(axis=1)] = 0
-    for i in np.flatnonzero(out) if most else ():
-        out[i] = edits(own[i].tolist(), theirs[i].tolist(), most)
-    return out
+def distances(own: np.ndarray, theirs: np.ndarray, most: int) -> np.ndarray:
+    """Edit distances of pairs of word-hash windows (a row each), ``most`` + 1 for more; all pairs at once, over the band of diagonals that ``most`` edits reach."""
+    n, m, none = own.shape[1], theirs.shape[1], most + 1
+    if not most:
+        return np.where((own == theirs).all(axis=1), 0, none) if n == m else np.full(len(own), none)
+    band = [np.full(len(own), d - most if d >= most else none) for d in range(2 * most + 1)]
+    for i in range(1, n + 1):
+        new: list[np.ndarray] = []
+        for d in range(2 * most + 1):
+            j = i + d - most
+            if j < 0 or j > m:
+                new.append(np.full(len(own), none))
+                continue
+            best = np.full(len(own), i) if j == 0 else band[d] + (own[:, i - 1] != theirs[:, j - 1])
+            if d < 2 * most:
+                best = np.minimum(best, band[d + 1] + 1)
+            if d and j:
+                best = np.minimum(best, new[-1] + 1)
+            new.append(best)
+        band = new
+    return np.minimum(band[m - n + most], none) if abs(m - n) <= most else np.full(len(own), none)
 
 
 def item_words(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
@@ -272,7 +284,7 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, finder: Finder) -> DataFram
                         met.append(x * len(theirs) + order[lo[x] + within])
                     pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
                     x, k = pairs // max(1, len(theirs)), pairs % max(1, len(theirs))
-                    for d, k, e in zip(which[x].tolist(), k.tolist(), _near(sym, n, starts[x], theirs[k], most).tolist()):
+                    for d, k, e in zip(which[x].tolist(), k.tolist(), distances(sym[starts[x][:, None] + np.arange(n)], theirs[k], most).tolist()):
                         if e <= most:
                             for i in owner[k]:
                                 best[d, i] = min(e, best.get((d, i), e))
@@ -315,9 +327,13 @@ def _by_shuffle(docs: DataFrame, words: DataFrame, finder: Finder) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            e = [edits(x, y, most) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            got = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e, pa.int32())], names=["doc", "item", "edits"])
-            yield got.filter(pa.array([x <= most for x in e], pa.bool_()))
+            own, theirs = b.column(2), b.column(3).flatten().to_numpy().reshape(-1, size)
+            sizes = np.diff(own.offsets.to_numpy())
+            e = np.full(b.num_rows, most + 1)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                e[at] = distances(own.take(pa.array(at)).flatten().to_numpy().reshape(-1, n), theirs[at], most)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e, pa.int32())], names=["doc", "item", "edits"]).filter(pa.array(e <= most))
 
     doc_kind, kind = docs.schema["doc"].dataType.simpleString(), words.schema["item"].dataType.simpleString()
     theirs = words.mapInArrow(of_items, f"item {kind}, key long, theirs array<long>").distinct()

@@ -59,6 +59,15 @@ def test_full_filter(spark, monkeypatch):
     assert {x for x, e in run(spark, docs, items).items() if e == 0} == brute(docs, items, 12, 0)
 
 
+def test_distances():
+    r = random.Random(9)
+    for n, m, most in ((12, 12, 1), (11, 12, 1), (13, 12, 1), (4, 4, 0), (10, 12, 2), (14, 12, 2), (12, 12, 3), (3, 9, 2)):
+        a = [[r.randrange(3) for _ in range(n)] for _ in range(300)]
+        b = [(leaks.edited(x, r.choice(["insert", "drop", "change"]), [r.randrange(n)], [7]) + [1] * 20)[:m] for x in a]
+        got = leaks.distances(np.array(a, np.uint64), np.array(b, np.uint64), most)
+        assert got.tolist() == [min(most + 1, leaks.edits(x, y, most)) for x, y in zip(a, b)]
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, "a b c")]) == {} == run(spark, [(1, "a")], []) == run(spark, [(1, None)], [(1, None)])
 
