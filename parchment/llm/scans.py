@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -103,7 +104,7 @@ class Lexicon(dict):
                     first.add(w)
                     yield w, 1
                 i = word.find(seen, i + 1)
-        if len(word) > 3 and len(first) <= 40:
+        if len(word) > 3:
             for w in first:
                 for seen, printed in CONFUSIONS:
                     i = w.find(seen)
@@ -154,10 +155,10 @@ class Flags(dict):
         return got
 
 
-def trusted(counts: dict[str, int]) -> dict[str, int]:
-    """Counts without the words that are misreadings of much more frequent ones."""
+def untrusted(counts: dict[str, int], words: list[str]) -> list[str]:
+    """Those of ``words`` that are misreadings of much more frequent ones."""
     full = Lexicon(counts, frozenset())
-    return {w: c for w, c in counts.items() if full.explained(w, c)[0] is None and full.explained(w.upper(), c)[0] is None}
+    return [w for w in words if full.explained(w, counts[w])[0] is not None or full.explained(w.upper(), counts[w])[0] is not None]
 
 
 class Block:
@@ -249,85 +250,136 @@ def edges(block: Block, page: int | None, printed: str | None) -> tuple[set[int]
     return head, nums
 
 
-def joint(block: Block, lex: Lexicon, i: int) -> tuple[int, str, int] | None:
-    """How line i's cut word goes on: (line, printed word, confusions) of a word cut in two, or None for a hyphenated pair or no cut."""
-    mark = block.cut[i]
-    if not mark or not block.words[i]:
-        return None
-    left = block.words[i][-1]
-    if not block.plain[i].endswith(left) or not any(c.isalpha() or c == "@" for c in left):
-        return None
-    best = None
-    for j in (i + 1, i + 2, i + 3):
-        if j >= len(block.words) or not block.words[j]:
-            continue
-        right = block.words[j][0]
-        if not block.plain[j].lstrip().startswith(right):
-            continue
-        word, n = lex[left + right]
-        if word is not None and lex.known(word) and any(c.isalpha() for c in right):
-            pair = f"{left}-{right}".lower()
-            if mark == "-" and pair in lex.pairs and lex.known(word) < LEAST * 5:
+#: Costs of the lattice's arcs; a cut mark that is read as it stands costs most.
+_KNOWN, _CONFUSED, _SPLIT, _MERGED, _UNKNOWN, _PAIR, _OPEN, _STANDS = 0.0, 2.0, 3.0, 3.0, 6.0, 1.0, 12.0, 40.0
+
+
+class Arc(NamedTuple):
+    """A piece of the reading: the places in the stream that it takes, what is printed there, confusions, and its kind (word, split, merger, cut, pair)."""
+
+    at: tuple[int, ...]
+    text: str
+    confused: int
+    kind: str
+
+
+class Stream:
+    """A block's body as one de-lined row of words; ``line`` tells each one's line, ``ends`` the marked line ends by their last word."""
+
+    def __init__(self, block: Block, lines: list[int]) -> None:
+        self.block, self.words, self.line = block, [], []
+        self.ends: dict[int, int] = {}
+        self.starts: dict[int, int] = {}
+        for i in lines:
+            ws = block.words[i]
+            if not ws:
+                continue
+            if block.plain[i].lstrip().startswith(ws[0]):
+                self.starts[i] = len(self.words)
+            self.words += ws
+            self.line += [i] * len(ws)
+            if block.cut[i] and block.plain[i].endswith(ws[-1]) and any(c.isalpha() or c == "@" for c in ws[-1]):
+                self.ends[len(self.words) - 1] = i
+        self.order = lines
+
+    def hyphens(self, t: int, lex: Lexicon) -> list[tuple[int, float, Arc]]:
+        """(next place, cost, arc) of the ways over the marked line end after word ``t``; lines put in between may be passed."""
+        i, left = self.ends[t], self.words[t]
+        mark, at = self.block.cut[i], self.order.index(i)
+        out: list[tuple[int, float, Arc]] = []
+        for skipped, j in enumerate(self.order[at + 1 : at + 4]):
+            if (u := self.starts.get(j)) is None:
                 continue
-            cost = n + (j - i - 1)
-            if best is None or cost < best[0]:
-                best = (cost, j, word, n)
-    if best:
-        return best[1], best[2], best[3]
-    if mark in "¬­":
-        nxt = next((j for j in range(i + 1, min(i + 4, len(block.words))) if block.words[j] and block.plain[j].lstrip()[:1].islower()), None)
-        return (nxt if nxt is not None else i, left, 0)
-    if i + 1 < len(block.words) and block.words[i + 1]:
-        right = block.words[i + 1][0]
-        if block.plain[i + 1].lstrip().startswith(right) and right[:1].islower() and lex[left][0] is None and lex[right][0] is None:
-            return i + 1, left + right, 0
-    return None
-
-
-#: Costs of the lattice's arcs.
-_KNOWN, _CONFUSED, _SPLIT, _MERGED, _UNKNOWN = 0.0, 2.0, 3.0, 3.0, 6.0
-
-
-def decode(words: list[str], lex: Lexicon) -> list[tuple[int, int, str, int]]:
-    """The cheapest reading of a stream: (first word, words taken, printed text, confusions) arcs.
-
-    Runs of known words read as themselves; around each unknown word the lattice holds its
-    correction, its split into two known words, and its merger with a neighbour.
+            right = self.words[u]
+            word, n = lex[left + right]
+            if word is not None and lex.known(word) and any(c.isalpha() for c in right):
+                pair = mark == "-" and f"{left}-{right}".lower() in lex.pairs and lex.known(word) < LEAST * 5
+                if not pair:
+                    out.append((u + 1, _CONFUSED * n + skipped, Arc((t, u), word, n, "cut")))
+                elif not skipped:
+                    out.append((u + 1, _PAIR, Arc((t, u), f"{left}-{right}", 0, "pair")))
+        nxt = self.order[at + 1] if at + 1 < len(self.order) else None
+        u = self.starts.get(nxt)
+        if mark in "¬\xad":
+            # these marks are never printed: the word is cut even if nothing known comes of it
+            way = next((self.starts[j] for j in self.order[at + 1 : at + 4] if j in self.starts and self.block.plain[j].lstrip()[:1].islower()), None)
+            out.append((t + 1, _OPEN + 1, Arc((t,), left, 0, "cut")) if way is None else (way + 1, _OPEN, Arc((t, way), left + self.words[way], 0, "cut")))
+        elif u is not None and self.words[u][:1].islower() and lex[left][0] is None and lex[self.words[u]][0] is None:
+            out.append((u + 1, _OPEN, Arc((t, u), left + self.words[u], 0, "cut")))
+        return out
+
+
+def decode(words: list[str], lex: Lexicon, stream: Stream | None = None, first: int = 0) -> list[Arc]:
+    """The cheapest way through the lattice over ``words``, which begin at place ``first`` of the stream.
+
+    Arcs: a word as itself or with its confusions put right, its split into two known words,
+    its merger with its neighbour, and over a marked line end a cut word or a hyphenated
+    pair. Words known by themselves between known ones have no other way, so the lattice is
+    opened only around the others. Words that a cut passes over are read on their own.
     """
     n = len(words)
     reads = [lex[w] for w in words]
-    if all(r[1] == 0 and r[0] is not None for r in reads):
-        return [(i, 1, w, 0) for i, w in enumerate(words)]
-    best: list[tuple[float, tuple[int, int, str, int] | None]] = [(0.0, None)] + [(math.inf, None)] * n
+    ends = stream.ends if stream else {}
+    open_ = [first + i in ends or r[1] > 0 or r[0] is None for i, r in enumerate(reads)]
+    if not any(open_):
+        return [Arc((first + i,), w, 0, "word") for i, w in enumerate(words)]
+    best: list[tuple[float, int, Arc | None]] = [(0.0, 0, None)] + [(math.inf, 0, None)] * n
     for i, w in enumerate(words):
-        base = best[i][0]
+        base, t = best[i][0], first + i
+        if base == math.inf:
+            continue
 
-        def arc(to: int, cost: float, what: tuple[int, int, str, int], base: float = base) -> None:
-            if base + cost < best[to][0]:
-                best[to] = (base + cost, what)
+        def arc(to: int, cost: float, what: Arc, base: float = base, i: int = i) -> None:
+            if to <= n and base + cost < best[to][0]:
+                best[to] = (base + cost, i, what)
 
         word, k = reads[i]
+        stands = 0.0
+        if t in ends:
+            for to, cost, what in stream.hyphens(t, lex):
+                arc(to - first, cost, what)
+            stands = _STANDS
         if word is not None:
-            arc(i + 1, _KNOWN + _CONFUSED * k, (i, 1, word, k))
+            arc(i + 1, stands + _KNOWN + _CONFUSED * k, Arc((t,), word, k, "word"))
         else:
-            arc(i + 1, _UNKNOWN, (i, 1, w, 0))
+            arc(i + 1, stands + _UNKNOWN, Arc((t,), w, 0, "word"))
             for c in range(2, len(w) - 1):
                 if lex.known(w[:c]) > 20 * LEAST and lex.known(w[c:]) > 20 * LEAST:
-                    arc(i + 1, _SPLIT, (i, 1, f"{w[:c]} {w[c:]}", 0))
-        if i + 1 < n and (word is None or reads[i + 1][0] is None or k or reads[i + 1][1]):
+                    arc(i + 1, stands + _SPLIT, Arc((t,), f"{w[:c]} {w[c:]}", 0, "split"))
+        if i + 1 < n and (open_[i] or open_[i + 1]) and (word is None or k or reads[i + 1][0] is None or reads[i + 1][1]):
             m, k2 = lex[w + words[i + 1]]
-            if m is not None and lex.known(m) and k2 == 0 and not w.isdecimal() and not words[i + 1].isdecimal():
-                arc(i + 2, _MERGED, (i, 2, m, 0))
-    out, i = [], n
+            if m is not None and lex.known(m) and k2 == 0 and not w.isdecimal() and not words[i + 1].isdecimal() and (stream is None or t not in ends):
+                arc(i + 2, _MERGED + (_STANDS if t + 1 in ends else 0.0), Arc((t, t + 1), m, 0, "merger"))
+    out: list[Arc] = []
+    i = n
     while i:
-        what = best[i][1]
+        _, before, what = best[i]
         out.append(what)
-        i = what[0]
+        if len(what.at) > 1 and what.at[1] > what.at[0] + 1:
+            between = slice(what.at[0] + 1 - first, what.at[1] - first)
+            out += decode(words[between], lex, stream, what.at[0] + 1)[::-1]
+        i = before
     return out[::-1]
 
 
-def readings(block: Block, lex: Lexicon, titles: set[str], page: int | None, printed: str | None, stem: str) -> tuple[set[int], set[int], set[int], set[int], dict]:
-    """(headers, page numbers, cut lines, misread lines, joints) by line index."""
+class Reading(NamedTuple):
+    """Lines by kind of noise, and the way through the body that told them."""
+
+    headers: set[int]
+    numbers: set[int]
+    cuts: set[int]
+    misread: set[int]
+    stream: Stream | None
+    path: list[Arc]
+
+
+def readings(block: Block, lex: Lexicon, titles: set[str], page: int | None, printed: str | None, stem: str, whole: bool = False) -> Reading:
+    """What the decoder finds in a block: running lines and page numbers leave the stream, the rest is decoded over line ends.
+
+    Cut words are the arcs over marked line ends, misread lines those with an arc that puts
+    confusions right. A block in which every word is known and no line end marked has only
+    one way, which is spelt out for ``whole`` only.
+    """
     head, nums = edges(block, page, printed)
     headers = set()
     for i in range(len(block.plain)) if stem else sorted(head):
@@ -337,49 +389,50 @@ def readings(block: Block, lex: Lexicon, titles: set[str], page: int | None, pri
             # a publication's own title is no content of a block, even where a notice stands before it
             if i in head and fixed in titles or stem and own[0] == stem and (len(own) == 3 or fixed in titles):
                 headers.add(i)
-    cuts, misread, joints = set(), set(), {}
+    body = [i for i in range(len(block.words)) if i not in headers and i not in nums]
     flag = lex.misread.__getitem__
-    skip: set[tuple[int, int]] = set()
-    for i in range(len(block.words)):
-        if block.cut[i] and i not in headers and i not in nums and (j := joint(block, lex, i)):
-            to, word, n = j
-            cuts.add(i)
-            joints[i] = j
-            skip.add((i, len(block.words[i]) - 1))
-            if to != i:
-                skip.add((to, 0))
-            if n:
-                left = block.words[i][-1]
+    if not whole and not any(block.cut[i] or any(map(flag, block.words[i])) for i in body):
+        return Reading(headers, nums, set(), set(), None, [])
+    stream = Stream(block, body)
+    cuts, misread = set(), set()
+    path = decode(stream.words, lex, stream)
+    for arc in path:
+        if arc.kind == "cut":
+            cuts.add(stream.line[arc.at[0]])
+        if arc.confused:
+            lines = [stream.line[t] for t in arc.at]
+            if len(lines) > 1:
                 # the confusion is in the part whose characters differ
-                misread.add(to if word.lower().startswith(left.lower()) else i)
-                if not word.lower().startswith(left.lower()) and not word.lower().endswith(block.words[to][0].lower()):
-                    misread.add(to)
-    for i, ws in enumerate(block.words):
-        if i in headers or i in nums:
-            continue
-        if not any(map(flag, ws)):
-            continue
-        stream = [k for k in range(len(ws)) if (i, k) not in skip]
-        if any(k for _, _, _, k in decode([ws[k] for k in stream], lex)):
-            misread.add(i)
-    return headers, nums, cuts, misread, joints
+                left, right, word = stream.words[arc.at[0]].lower(), stream.words[arc.at[1]].lower(), arc.text.lower()
+                lines = lines[1:] if word.startswith(left) else lines[:1] if word.endswith(right) else lines
+            misread.update(lines)
+    return Reading(headers, nums, cuts, misread, stream, path)
 
 
-def paragraphs(block: Block, lex: Lexicon, headers: set[int], nums: set[int], joints: dict) -> list[str]:
-    """The page as paragraphs: readings joined, boundaries by dynamic programming over line ends.
+def paragraphs(block: Block, found: Reading) -> list[str]:
+    """The page as paragraphs: the reading's words in their lines, boundaries by dynamic programming over line ends.
 
     A boundary costs less after a short line that ends a sentence and before a capital; two
     boundaries in a row (a paragraph of one line) cost extra; a cut word forbids one.
     """
-    body = [i for i in range(len(block.words)) if i not in headers and i not in nums and block.plain[i].strip()]
+    body = [i for i in range(len(block.words)) if i not in found.headers and i not in found.numbers and block.plain[i].strip()]
     if not body:
         return []
+    stream = found.stream
+    text_of: dict[int, str] = {}
+    joined: set[int] = set()
+    for arc in found.path:
+        text_of[arc.at[0]] = arc.text
+        for t in arc.at[1:]:
+            text_of[t] = ""
+        if arc.kind in ("cut", "pair"):
+            joined.add(stream.line[arc.at[0]])
     width = max(len(block.plain[i]) for i in body)
     cost: list[float] = []
     for a, b in zip(body, body[1:]):
         t, u = block.plain[a].rstrip(), block.plain[b].lstrip()
         c = 4.0 - 3.0 * (t[-1:] in ".!?:") - 3.0 * (len(t) < 0.8 * width) + 3.0 * u[:1].islower()
-        cost.append(math.inf if a in joints or block.cut[a] else c)
+        cost.append(math.inf if a in joined or block.cut[a] else c)
     # states: the previous gap was no boundary / was one; a gap left open costs 1
     way: list[list[tuple[float, int]]] = [[(0.0, 0), (math.inf, 0)]]
     for c in cost:
@@ -393,36 +446,22 @@ def paragraphs(block: Block, lex: Lexicon, headers: set[int], nums: set[int], jo
         bounds.append(state)
         state = way[k][state][1]
     bounds = [*bounds[::-1], 1]
-    out, text, carried = [], "", set()
+    place = {}
+    for t, i in enumerate(stream.line):
+        place.setdefault(i, t)
+    out, text = [], ""
     for i, end in zip(body, bounds):
-        ws = block.words[i]
-        line = block.plain[i].strip()
-        spots, at = [], 0
-        for w in ws:
-            at = line.find(w, at)
-            spots.append(at)
-            at += len(w)
-        drop_last = i in joints and joints[i][0] != i
-        use = [k for k in range(len(ws)) if (i, k) not in carried and not (drop_last and k == len(ws) - 1)]
-        new = {}
-        for first, n, word, _ in decode([ws[k] for k in use], lex):
-            new[use[first]] = word
-            for x in range(1, n):
-                new[use[first + x]] = ""
-        piece, at = "", 0
-        for k, w in enumerate(ws):
-            piece += line[at : spots[k]]
-            piece += new.get(k, "" if (i, k) in carried or drop_last and k == len(ws) - 1 else w)
-            at = spots[k] + len(w)
+        line, piece, at = block.plain[i].strip(), "", 0
+        for k, w in enumerate(block.words[i]):
+            spot = line.find(w, at)
+            piece += line[at:spot] + text_of.get(place[i] + k, w)
+            at = spot + len(w)
         piece += line[at:]
-        if drop_last:
-            to, word, _ = joints[i]
-            piece = piece.rstrip() + " " + word if piece.strip() else word
-            carried.add((to, 0))
-        elif block.cut[i]:
+        if block.cut[i] and i not in joined:
             piece += "-"
+        piece = piece.strip()
         glue = "" if not text or text.endswith("-") or piece[:1] in (",", ".", ";", ":", ")") else " "
-        text = re.sub(r" {2,}", " ", text + glue + piece.strip())
+        text = re.sub(r" {2,}", " ", text + glue + piece)
         if end:
             out.append(text.strip())
             text = ""
@@ -508,9 +547,19 @@ class Scans:
         self.counts = checkpointed(counted.groupBy("kind", "source", "key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).where(f"kind <> 'w' and n >= 2 or n >= {LEAST}"))
         total = {r.kind: r.n for r in self.counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         least = max(LEAST, math.ceil(SHARE * total.get("w", 0)))
-        words = {r.key: r.n for r in self.counts.where(f"kind = 'w' and n >= {least}").select("key", "n").toLocalIterator()}
+        kept = self.counts.where(f"kind = 'w' and n >= {least}").select("key", "n")
+        words = {r.key: r.n for r in kept.toLocalIterator()}
+        every = spark.sparkContext.broadcast(words)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(untrusted(every.value, b.column(0).to_pylist()), pa.string())], names=["key"])
+
+        for r in spread(kept.select("key")).mapInArrow(clean, "key string").toLocalIterator():
+            words.pop(r.key)
         pairs = frozenset(r.key for r in self.counts.where(f"kind = 'p' and n >= {max(2, math.ceil(SHARE * total.get('p', 0)))}").select("key").toLocalIterator())
-        self.shared = spark.sparkContext.broadcast((trusted(words), pairs))
+        self.shared = spark.sparkContext.broadcast((words, pairs))
+        every.unpersist()
         often = self.counts.where(f"kind = 't' and good >= {min_pages}").where(F.col("good") >= F.col("n") * F.lit(title_share))
         most = often.groupBy("source").agg(F.max("good").alias("most"))
         kept = often.join(most, "source").where(F.col("good") >= F.col("most") * F.lit(of_most))
@@ -539,7 +588,7 @@ class Scans:
                     if not text:
                         continue
                     block = Block(text.split("\n"))
-                    found = readings(block, lex, set(titles.split("\n")) if titles else set(), page, printed, stem or "")
+                    found = readings(block, lex, set(titles.split("\n")) if titles else set(), page, printed, stem or "")[:4]
                     keys = None if one else key.split("\n")
                     for kind, lines in zip(("running_header", "page_number", "hyphen_break", "misread"), found):
                         if lines and one:
@@ -565,8 +614,8 @@ class Scans:
                 for table, key, source, page, printed, stem, text, titles in zip(*(b.column(i).to_pylist() for i in range(8))):
                     if text:
                         block = Block(text.split("\n"))
-                        headers, nums, _, _, joints = readings(block, lex, set(titles.split("\n")) if titles else set(), page, printed, stem or "")
-                        for n, p in enumerate(paragraphs(block, lex, headers, nums, joints), 1):
+                        found = readings(block, lex, set(titles.split("\n")) if titles else set(), page, printed, stem or "", whole=True)
+                        for n, p in enumerate(paragraphs(block, found), 1):
                             out.append((table, key.split("\n")[0], source, page, true_label(printed), n, p))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["table_name", "row_key", "source_id", "page", "label", "paragraph_no", "text"])
 

@@ -46,10 +46,20 @@ def test_labels():
 
 def test_paragraphs_and_decoding():
     b = scans.Block("Liqueax Building Manual\nthe instal-\nler sball inspect the stair.\nThe hall is oak and the ground snow is high\nand the doors of oak.\n7".split("\n"))
-    h, n, _, _, j = scans.readings(b, LEX, {"liqueax building manual"}, 7, None, "")
-    assert scans.paragraphs(b, LEX, h, n, j) == ["the installer shall inspect the stair.", "The hall is oak and the ground snow is high and the doors of oak."]
-    assert [a[2] for a in scans.decode(["groundsnow", "lo", "ad"], scans.Lexicon(COUNTS, frozenset()))] == ["ground snow", "load"]
-    assert scans.paragraphs(scans.Block([""]), LEX, set(), set(), {}) == []
+    assert scans.paragraphs(b, scans.readings(b, LEX, {"liqueax building manual"}, 7, None, "", whole=True)) == ["the installer shall inspect the stair.", "The hall is oak and the ground snow is high and the doors of oak."]
+    assert [(a.text, a.kind) for a in scans.decode(["groundsnow", "lo", "ad"], scans.Lexicon(COUNTS, frozenset()))] == [("ground snow", "split"), ("load", "merger")]
+    b = scans.Block([""])
+    assert scans.paragraphs(b, scans.readings(b, LEX, set(), None, None, "", whole=True)) == []
+
+
+def test_one_lattice_over_line_ends():
+    """Splits, mergers, confusions and cut words compete in one reading of the de-lined stream."""
+    b = scans.Block("the ground sn\now load of the in-\nA Notice Here\nstal1er shall ins pect\nthe groundsnow".split("\n"))
+    found = scans.readings(b, LEX, set(), 7, None, "", whole=True)
+    assert [(a.text, a.kind) for a in found.path if a.kind != "word"] == [("snow", "merger"), ("installer", "cut"), ("inspect", "merger"), ("ground snow", "split")]
+    assert found.cuts == {1} and found.misread == {3}
+    text = " ".join(scans.paragraphs(b, found))
+    assert "ground snow load of the installer" in text and "shall inspect the ground snow" in text
 
 
 @pytest.mark.parametrize("bound", [200_000, 0])
