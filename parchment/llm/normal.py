@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import permutations
 
 import pandas as pd
 import regex
@@ -33,87 +34,147 @@ UNPLAIN = r"[^\n\x20-\x7E]"
 _CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]").search
 _JOINING = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}]")
 _LATIN = regex.compile(r"\p{Latin}")
-_CLUSTER = regex.compile(r"\X")
 
 
-def rules() -> dict[str, str]:
-    """The precomputed mapping of single code points: widths, blanks, hyphens, joined letters, canonical singles.
+def families() -> Iterator[tuple[str, str]]:
+    """Every rule as (source, target), family by family; one source may be named by several families."""
+    yield from ((end, "\n") for end in LINE_ENDS)
+    yield from ((c, " ") for c in "\t\x0b\x0c")
+    yield from ((c, "-") for c in HYPHENS)
+    yield from ((c, "") for c in WIDTHLESS)
+    for cp in (*range(0xA0, 0xD800), *range(0xF900, 0x30000)):
+        c = chr(cp)
+        if unicodedata.category(c) == "Zs":
+            yield c, " "
+        kind, _, parts = unicodedata.decomposition(c).rpartition("> ")
+        text = "".join(chr(int(x, 16)) for x in parts.split()) if kind else ""
+        if kind in ("<wide", "<narrow", "<small") or kind == "<font" and 0x1D400 <= cp < 0x1D800 and text.isalnum():
+            yield c, unicodedata.normalize("NFC", text)
+        elif kind == "<compat" and text.isalpha() and ("LIGATURE" in (name := unicodedata.name(c, "")) or regex.search(r"LETTERS? (?:DZ|LJ|NJ)\b|WITH SMALL LETTER [JZ]", name)) and not _JOINING.match(c):
+            yield c, unicodedata.normalize("NFC", text)
+        elif not kind and parts and unicodedata.normalize("NFC", c) != c:
+            yield c, unicodedata.normalize("NFC", c)
 
-    Raises ValueError if two rules disagree, or if an output holds an input, so that one
-    pass is enough and a second changes nothing.
+
+def rules(extra: Iterable[tuple[str, str]] = ()) -> dict[str, str]:
+    """The precomputed mapping of single code points (and CR LF) to their consistent form, all families and ``extra`` followed to the end.
+
+    Raises ValueError if two families, followed to the end, disagree about a source or lead
+    in a circle. An output holds no input, so that one pass is enough and a second changes
+    nothing.
     """
-    table: dict[str, str] = {}
+    named: dict[str, set[str]] = {}
+    for source, target in (*families(), *extra):
+        named.setdefault(source, set()).add(target)
+    done: dict[str, str] = {}
+
+    def end(c: str, above: tuple[str, ...] = ()) -> str:
+        if c == "\n" or c not in named:
+            return c
+        if c in above:
+            raise ValueError(f"the mapping of {c!r} leads in a circle")
+        if c not in done:
+            ends = {unicodedata.normalize("NFC", "".join(end(x, (*above, c)) for x in t)) for t in named[c]}
+            if len(ends) > 1:
+                raise ValueError(f"{c!r} has several mappings: {sorted(ends)}")
+            done[c] = ends.pop()
+        return done[c]
+
+    table = {c: end(c) for c in named}
+    if any(x in table for t in table.values() for x in t if x != "\n"):
+        raise ValueError("an output of the mapping is again an input")
+    return table
+
+
+def look_alikes() -> Iterator[tuple[str, str]]:
+    """Letters of other scripts, bare or with accents, for the Latin letters of the same look."""
+    yield from LOOK_ALIKES.items()
+    for cp in (*range(0x370, 0x590), *range(0x1F00, 0x2000)):
+        c = chr(cp)
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base in LOOK_ALIKES and unicodedata.normalize("NFC", c) == c:
+            yield c, unicodedata.normalize("NFC", LOOK_ALIKES[base] + "".join(marks))
+
+
+def compiled(table: dict[str, str]) -> dict:
+    """A trie of every source: the table's, and of each composed letter all sequences of letter and accents that mean it, from any source of that letter. A node's output stands under ''."""
+    trie: dict = {}
 
     def add(source: str, target: str) -> None:
-        if table.setdefault(source, target) != target:
+        node = trie
+        for c in source:
+            node = node.setdefault(c, {})
+        if node.setdefault("", target) != target:
             raise ValueError(f"two mappings of {source!r}")
 
-    for end in LINE_ENDS:
-        add(end, "\n")
-    for c in "\t\x0b\x0c":
-        add(c, " ")
-    for c in HYPHENS:
-        add(c, "-")
-    for c in WIDTHLESS:
-        add(c, "")
-    for cp in (*range(0xA0, 0xD800), *range(0xF900, 0x1F000)):
+    for source, target in table.items():
+        if source not in WIDTHLESS:
+            add(source, target)
+    looks: dict[str, list[str]] = {}
+    for source, target in table.items():
+        if len(source) == len(target) == 1:
+            looks.setdefault(target, []).append(source)
+    for cp in (*range(0xC0, 0x2000), *range(0x2190, 0x2300), *range(0x3040, 0x3100)):
         c = chr(cp)
-        if c in table:
+        base, *marks = unicodedata.normalize("NFD", c)
+        if not marks or unicodedata.normalize("NFC", c) != c:
             continue
-        kind, _, parts = unicodedata.decomposition(c).rpartition("> ")
-        text = "".join(chr(int(x, 16)) for x in parts.split()) if kind else ""
-        if unicodedata.category(c) == "Zs":
-            add(c, " ")
-        elif kind in ("<wide", "<narrow", "<small"):
-            add(c, unicodedata.normalize("NFC", text))
-        elif kind == "<compat" and text.isalpha() and ("LIGATURE" in (name := unicodedata.name(c, "")) or regex.search(r"LETTERS? (?:DZ|LJ|NJ)\b|WITH SMALL LETTER [JZ]", name)) and not _JOINING.match(c):
-            add(c, unicodedata.normalize("NFC", text))
-        elif not kind and parts and unicodedata.normalize("NFC", c) != c:
-            add(c, unicodedata.normalize("NFC", c))
-    bad = [s for s, t in table.items() if any(x in table and x != "\n" for x in t)]
-    for s in bad:
-        table[s] = "".join(table.get(x, x) for x in table[s])
-    if any(x in table for s, t in table.items() for x in t):
-        raise ValueError("an output of the mapping is again an input")
-    if set(LOOK_ALIKES) & set(table) or any(not x.isascii() for x in LOOK_ALIKES.values()):
-        raise ValueError("a look-alike letter has two mappings")
-    return table
+        for some in permutations(marks):
+            for n in range(len(some)):
+                # the letter with its first n accents composed, the rest separate
+                head = unicodedata.normalize("NFC", base + "".join(some[:n]))
+                if len(head) == 1 and unicodedata.normalize("NFC", head + "".join(some[n:])) == c:
+                    for first in (head, *looks.get(head, ())):
+                        add(first + "".join(some[n:]), table.get(c, c))
+    return trie
 
 
 class Transducer:
     """Maps text in one pass of longest matches: emoji sequences (kept), words with anything unplain, other characters.
 
-    A word is a run of letters, marks and characters without width; within it the match is
-    the grapheme cluster: base and accents are composed, widths mapped, and, if the word has
-    a Latin letter, look-alikes of other scripts replaced. Joiners stay in scripts that need
-    them. Words met before are looked up.
+    A word is a run of letters, marks and characters without width. In it the longest match
+    of a compiled trie is taken at each letter: letters with separate accents, width forms,
+    joined letters, and, in the trie for words that hold a Latin letter, look-alikes of other
+    scripts, with their accents. Characters without width are passed over within a match and
+    dropped. Accents that no rule composes come in canonical order. Joiners stay in scripts
+    that need them. Words met before are looked up.
     """
 
     def __init__(self, memo: int = 500_000) -> None:
         self.table, self.memo, self.most = rules(), {}, memo
+        self.tries = compiled(self.table), compiled(rules(look_alikes()))
         odd = "".join(regex.escape(c) for c in self.table if len(c) == 1 and not unicodedata.category(c)[0] in "LM" and c not in WIDTHLESS)
         word = r"[[\p{L}\p{M}" + "".join(regex.escape(c) for c in sorted(WIDTHLESS)) + r"]--[A-Za-z]]"
         emoji = r"\p{Extended_Pictographic}(?:\p{EMod}|️)?(?:‍\p{Extended_Pictographic}(?:\p{EMod}|️)?)*"
         self.token = regex.compile(rf"(?V1)(?:{emoji})(*SKIP)(*FAIL)|(?<![A-Za-z])[A-Za-z]*{word}[A-Za-z\p{{L}}\p{{M}}{''.join(regex.escape(c) for c in sorted(WIDTHLESS))}]*|\r\n|[{odd}]")
 
     def _word(self, token: str) -> str:
-        out, join = [], bool(_JOINING.search(token))
-        for cluster in _CLUSTER.findall(token):
-            plain = "".join(c for c in cluster if c not in WIDTHLESS or join and c in "‌‍")
-            if plain:
-                out.append(unicodedata.normalize("NFC", "".join(c if c in WIDTHLESS else self.table.get(c, c) for c in plain)))
-        # accents that a character without width had parted from their letter
-        text = unicodedata.normalize("NFC", "".join(out))
-        if _LATIN.search(text) and not text.isascii():
-            spread = unicodedata.normalize("NFD", text)
-            if any(c in LOOK_ALIKES for c in spread):
-                text = unicodedata.normalize("NFC", "".join(LOOK_ALIKES.get(c, c) for c in spread))
-        return text
+        kept = "‌‍" if _JOINING.search(token) else ""
+        trie = self.tries[bool(_LATIN.search(token))]
+        out, i, n = [], 0, len(token)
+        while i < n:
+            c = token[i]
+            if c in WIDTHLESS and c not in kept:
+                i += 1
+                continue
+            node = trie.get(c)
+            text, end, j = (c if node is None else node.get("", c)), i + 1, i + 1
+            while node is not None and j < n:
+                d = token[j]
+                j += 1
+                if d in WIDTHLESS and d not in kept:
+                    continue
+                node = node.get(d)
+                if node is not None and "" in node:
+                    text, end = node[""], j
+            out.append(text)
+            i = end
+        return unicodedata.normalize("NFC", "".join(out))
 
     def _one(self, m: regex.Match) -> str:
         token = m.group()
         if (got := self.memo.get(token)) is None:
-            got = self.table[token] if token in self.table else self._word(token)
+            got = self.table[token] if token in self.table and not token[0].isalpha() else self._word(token)
             if len(self.memo) >= self.most:
                 self.memo.clear()
             if len(token) <= 64:

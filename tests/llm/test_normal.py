@@ -1,5 +1,7 @@
+import itertools
 import unicodedata
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -38,10 +40,28 @@ def test_idempotent(text):
 
 def test_rules_have_no_conflict():
     table = normal.rules()
-    assert not any(x in table for v in table.values() for x in v)
+    assert not any(x in table for v in table.values() for x in v if x != "\n")
     assert all(unicodedata.normalize("NFC", v) == v for v in table.values())
 
 
+@pytest.mark.parametrize("extra", [[("﹣", "~")], [(" ", " ")], [(" ", "_")], [("а", "b"), ("а", "a")]])
+def test_conflicts_are_raised(extra):
+    with pytest.raises(ValueError):
+        normal.rules(extra)
+
+
+def test_all_spellings_of_a_letter():
+    """Composed, separate, parted by a character without width, in full width and as look-alikes with accents: one form."""
+    t = normal.Transducer()
+    for c in "éÅấộǖñ":
+        marks = unicodedata.normalize("NFD", c)
+        for order in itertools.permutations(marks[1:]):
+            if unicodedata.normalize("NFC", marks[0] + "".join(order)) == c:
+                for base in (marks[0], chr(ord(marks[0]) + 0xFEE0)):
+                    assert t("x" + base + "".join(order) + "x") == t("x" + base + "​".join(order) + "​x") == f"x{c}x"
+    assert t("ёlan") == t("ёlan") == "ëlan" and t("ёлка") == "ёлка" and t("𝐊𝐞𝐲") == "Key"
+
+
 def test_column(spark):
     df = spark.createDataFrame([("a", "the"), ("b", "thе"), ("c", None), ("d", ""), ("b", "thе"), ("e", "x" * 200_000 + "​")], "id string, text string")
     got = {r.id: r.t for r in df.select("id", normal.normalized(F.col("text")).alias("t")).collect()}
