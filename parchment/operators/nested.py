@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,8 +26,85 @@ def _text(x: object) -> str:
     return "" if x is None else x.encode("utf-8", "replace").decode() if isinstance(x, str) else json.dumps(x)
 
 
+_SKIPPED = ("children", "operands", "condition", "exceptions", "diagnostics", "expected")
+_BLANK = re.compile(r"[ \t\n\r]*").match
+_SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity").match
+
+
+def _read_deep(text: str) -> object:
+    """What ``json.loads`` gives, for nesting of any depth: containers wait on a list of their own instead of the call stack."""
+    bad = ValueError("not JSON")
+    open_: list[tuple[object, str | None]] = []
+    i, value, done = _BLANK(text).end(), None, False
+    here: object = None
+    key: str | None = None
+    fresh = False  # just after an opening bracket
+    while True:
+        i = _BLANK(text, i).end()
+        c = text[i : i + 1]
+        if fresh and c and c in "]}" or done:
+            # close what is open, or go on after a comma
+            if done:
+                if here is None:
+                    if i != len(text):
+                        raise bad
+                    return value
+                here.append(value) if isinstance(here, list) else here.__setitem__(key, value)
+            if c == ("]" if isinstance(here, list) else "}"):
+                value, i, done, fresh = here, i + 1, True, False
+                here, key = open_.pop()
+                continue
+            if not done or c != ",":
+                raise bad
+            i, done = _BLANK(text, i + 1).end(), False
+            c = text[i : i + 1]
+        fresh = False
+        if isinstance(here, dict):
+            if c != '"':
+                raise bad
+            key, i = scanstring(text, i + 1)
+            i = _BLANK(text, i).end()
+            if text[i : i + 1] != ":":
+                raise bad
+            i = _BLANK(text, i + 1).end()
+            c = text[i : i + 1]
+        if c and c in "[{":
+            open_.append((here, key))
+            here, key, i, fresh = [] if c == "[" else {}, None, i + 1, True
+        elif c == '"':
+            value, i = scanstring(text, i + 1)
+            done = True
+        elif (m := _SCALAR(text, i)) is not None:
+            value, i, done = json.loads(m.group()), m.end(), True
+        else:
+            raise bad
+
+
+def _write_deep(x: object) -> str:
+    """What ``json.dumps(x, sort_keys=True)`` gives, for nesting of any depth."""
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, x)]
+    while todo:
+        ready, v = todo.pop()
+        if ready:
+            out.append(v)
+        elif isinstance(v, dict):
+            parts = [[*([(True, ", ")] if n else []), (True, json.dumps(k) + ": "), (False, v[k])] for n, k in enumerate(sorted(v))]
+            todo += [(True, "}"), *[y for p in reversed(parts) for y in reversed(p)], (True, "{")]
+        elif isinstance(v, list):
+            parts = [[(True, ", "), (False, y)] if n else [(False, y)] for n, y in enumerate(v)]
+            todo += [(True, "]"), *[y for p in reversed(parts) for y in reversed(p)], (True, "[")]
+        else:
+            out.append(json.dumps(v))
+    return "".join(out)
+
+
 def _flat(x: dict) -> str:
-    return json.dumps({k: v for k, v in x.items() if k not in ("children", "operands", "condition", "exceptions", "diagnostics", "expected")}, sort_keys=True)
+    own = {k: v for k, v in x.items() if k not in _SKIPPED}
+    try:
+        return json.dumps(own, sort_keys=True)
+    except RecursionError:
+        return _write_deep(own)
 
 
 def read_payload(text: str) -> tuple[bool, object]:
@@ -33,10 +112,13 @@ def read_payload(text: str) -> tuple[bool, object]:
     value: object = text
     first = True
     while isinstance(value, str):
-        body = value.lstrip("﻿ \t\r\n")
+        body = value.lstrip("\ufeff \t\r\n")
         try:
-            value = json.loads(body)
-        except (ValueError, RecursionError):
+            try:
+                value = json.loads(body)
+            except RecursionError:
+                value = _read_deep(body)
+        except ValueError:
             return not first, None
         first = False
     return True, value
@@ -86,8 +168,8 @@ def emit_items(records: DataFrame, id_col: str = "raw_id", payload_col: str = "p
     Null payloads give nothing; an unreadable one gives one 'unreadable' row; valid JSON of
     another shape gives nothing. Damage inside a wrapped JSON string, which is itself valid
     JSON, gives nothing. Records received twice give their items once (records are reduced
-    to distinct (id, payload) first). A payload of any depth is walked without recursion;
-    one nested beyond the JSON reader's own limit counts as unreadable.
+    to distinct (id, payload) first). A payload of any depth is read, walked and written
+    without recursion.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

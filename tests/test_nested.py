@@ -43,3 +43,24 @@ def test_tables_and_sink(spark, tmp_path):
 
 def test_empty(spark):
     assert nested.emit_items(spark.createDataFrame([], "raw_id long, payload string")).count() == 0
+
+
+def test_deeper_than_the_call_stack(spark):
+    n = 20_000
+    text = '{"root": ' + "".join(f'{{"node_id": "{i}", "children": [' for i in range(n)) + "]}" * n + "}"
+    got = rows(spark, [text, text[:-1], '{"conditions": {"name": "c", "x": ' + "[" * n + "]" * n + "}}"])
+    assert {x[1:] for x in got if x[0] == 0} == {("node", str(i), str(i - 1) if i else "") for i in range(n)}
+    assert {x[1:] for x in got if x[0] == 1} == {("unreadable", "", "")} and {x[1:] for x in got if x[0] == 2} == {("case", "c", "")}
+
+
+def test_the_deep_reader_reads_as_json():
+    good = ['{"a": [1, -2.5e3, true, null, "x\\u00e9"], "b": {}, "c": [], "d": [[], {"e": {"f": [{}]}}]}', "[]", " [1 ,2 ] ", '"x"', "3", "{}", '[[1,[2]],"a"]', "[1e5]"]
+    for t in good:
+        assert nested._read_deep(t) == json.loads(t) and nested._write_deep(json.loads(t)) == json.dumps(json.loads(t), sort_keys=True), t
+    for t in ("", "[", "]", "{", '{"a"}', '{"a":}', "[1,]", "[,1]", '{"a":1,}', "[1 2]", "1 2", "[1]]", "{1:2}", '{"a":1 "b":2}', "[01]", "tru", '"x'):
+        for read in (json.loads, nested._read_deep):
+            try:
+                read(t)
+            except ValueError:
+                continue
+            raise AssertionError((read, t))
