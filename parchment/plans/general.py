@@ -123,6 +123,87 @@ def _p5() -> str:
     UNION ALL SELECT w.t, w.o, w.k, 'depth' FROM way w JOIN link l ON w.t = l.t AND w.o = l.o AND w.k = l.k WHERE w.nxt IS NULL AND NOT w.back AND l.stored <> w.n"""
 
 
+def _p3_fields() -> str:
+    t, p = _TITLE.format, _LOC.format
+    both = [("title", t("e.title"), t("a.title")), ("parent", p("e.parent"), p("a.parent")), ("depth", "e.depth", "a.depth"), ("order", "e.ordinal", "a.ordinal")]
+    raw = {"order": "ordinal"}
+    parts = [f"SELECT e.publication_key, e.locator, '{c}-mismatch' AS code, CAST(e.{raw.get(c, c)} AS VARCHAR) AS expected, CAST(a.{raw.get(c, c)} AS VARCHAR) AS actual FROM e JOIN a USING (publication_key, locator) WHERE {x} IS DISTINCT FROM {y}" for c, x, y in both]
+    parts += ["SELECT publication_key, locator, 'missing-locator', NULL, NULL FROM e ANTI JOIN a USING (publication_key, locator)", "SELECT publication_key, locator, 'unexpected-locator', NULL, NULL FROM a ANTI JOIN e USING (publication_key, locator)"]
+    return f"WITH {_hier('e', 'hierarchy_expected')}, {_hier('a', 'hierarchy_actual')} " + " UNION ALL ".join(parts)
+
+
+_WAY = """way AS (SELECT t, o, k, k AS here, up AS nxt, 0 AS n, [k] AS seen, false AS back FROM link
+      UNION ALL SELECT w.t, w.o, w.k, l.k, l.up, w.n + 1, list_append(w.seen, l.k), list_contains(w.seen, l.k) FROM way w JOIN link l ON w.t = l.t AND w.o IS NOT DISTINCT FROM l.o AND w.nxt = l.k WHERE NOT w.back),
+    ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, o, k ORDER BY n DESC) AS r FROM way) WHERE r = 1)"""
+
+
+def _links_sql() -> str:
+    p = _LOC.format
+    return f"""{_hier('e', 'hierarchy_expected')}, {_hier('a', 'hierarchy_actual')},
+    link AS (SELECT 'source_text_section' AS t, artifact_id AS o, {p('locator')} AS k, min(nullif({p('parent_locator')}, '')) AS up FROM source_text_section WHERE locator IS NOT NULL GROUP BY 1, 2, 3
+      UNION ALL SELECT 'hierarchy_expected', publication_key, locator, nullif({p('parent')}, '') FROM e WHERE locator IS NOT NULL
+      UNION ALL SELECT 'hierarchy_actual', publication_key, locator, nullif({p('parent')}, '') FROM a WHERE locator IS NOT NULL)"""
+
+
+def _p5_tree() -> str:
+    return f"""WITH RECURSIVE {_links_sql()}, {_WAY}
+    SELECT t AS table_name, o AS owner_id, k AS locator, CASE WHEN NOT back THEN coalesce(nxt, here) END AS root, CAST(CASE WHEN NOT back THEN n + CASE WHEN nxt IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS depth,
+      CASE WHEN back AND here = k THEN 'cycle' WHEN back THEN 'below_cycle' WHEN nxt IS NOT NULL THEN 'dangling' END AS finding,
+      CASE WHEN NOT back THEN array_to_string(list_reverse(seen), ' > ') END AS path FROM ends"""
+
+
+def _p5_descendants() -> str:
+    p = _LOC.format
+    return f"""WITH RECURSIVE link AS (SELECT 's' AS t, artifact_id AS o, {p('locator')} AS k, min({p('parent_locator')}) AS up FROM source_text_section WHERE locator IS NOT NULL GROUP BY 1, 2, 3), {_WAY}
+    SELECT o AS owner, seen[i] AS ancestor, k AS descendant, CAST(i - 1 AS INTEGER) AS distance FROM (SELECT o, k, seen, unnest(range(2, len(seen) + 1)) AS i FROM ends WHERE NOT back)"""
+
+
+#: Payloads without byte order marks, JSON within JSON strings read in turn; then items from each level to the next.
+_P6 = r"""raw AS (SELECT DISTINCT raw_id, payload FROM raw_record WHERE payload IS NOT NULL),
+    text AS (SELECT raw_id, payload, 0 AS n, ltrim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS x FROM raw
+      UNION ALL SELECT raw_id, payload, n + 1, ltrim(json_extract_string(CAST(x AS JSON), '$'), chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) FROM text WHERE CASE WHEN json_valid(x) THEN json_type(CAST(x AS JSON)) = 'VARCHAR' ELSE false END),
+    unreadable AS (SELECT raw_id FROM text WHERE n = 0 AND NOT json_valid(x)),
+    doc AS (SELECT raw_id, payload, CASE WHEN json_valid(x) THEN CAST(x AS JSON) END AS j FROM text WHERE json_valid(x) AND json_type(CAST(CASE WHEN json_valid(x) THEN x END AS JSON)) <> 'VARCHAR'),
+    body AS (SELECT raw_id, payload, CASE WHEN json_type(j) <> 'OBJECT' THEN j WHEN json_exists(j, '$.conditions') THEN json_extract(j, '$.conditions') WHEN json_exists(j, '$.name') OR json_exists(j, '$.expected') THEN j END AS b FROM doc WHERE coalesce(json_type(j, '$.root'), '') <> 'OBJECT'),
+    node AS (SELECT raw_id, payload, json_extract(j, '$.root') AS x, '' AS parent FROM doc WHERE json_type(j, '$.root') = 'OBJECT'
+      UNION ALL SELECT raw_id, payload, c.x, parent FROM (SELECT raw_id, payload, unnest({kids_children}) AS x, coalesce(json_extract_string(x, '$.node_id'), '') AS parent FROM node) c WHERE json_type(c.x) = 'OBJECT'),
+    cases AS (SELECT raw_id, payload, x, coalesce(json_extract_string(x, '$.name'), '') AS name FROM (SELECT raw_id, payload, unnest({kids_b}) AS x FROM body) WHERE json_type(x) = 'OBJECT'),
+    expected AS (SELECT raw_id, payload, name, json_extract(x, '$.expected') AS x FROM cases WHERE json_type(x, '$.expected') = 'OBJECT'),
+    cond AS (SELECT raw_id, payload, name, x, name AS parent, 1 AS depth, CAST(i - 1 AS INTEGER) AS ordinal, {key} AS item_key FROM (SELECT raw_id, payload, name, unnest({kids_condition}) AS x, generate_subscripts({kids_condition}, 1) AS i FROM expected) WHERE json_type(x) = 'OBJECT'
+      UNION ALL SELECT raw_id, payload, name, x, parent, depth, CAST(i - 1 AS INTEGER), {key} FROM (SELECT raw_id, payload, name, unnest({kids_operands}) AS x, generate_subscripts({kids_operands}, 1) AS i, item_key AS parent, depth + 1 AS depth FROM cond) WHERE json_type(x) = 'OBJECT')"""
+
+
+def _p6_with() -> str:
+    def kids(j: str) -> str:
+        return f"CASE json_type({j}) WHEN 'ARRAY' THEN json_extract({j}, '$[*]') WHEN 'OBJECT' THEN [{j}] ELSE [] END"
+
+    key = "name || '/' || coalesce(json_extract_string(x, '$.span.start'), '') || '-' || coalesce(json_extract_string(x, '$.span.end'), '')"
+    out = _P6.replace("{kids_b}", kids("b")).replace("{key}", key)
+    for f in ("children", "condition", "operands"):
+        out = out.replace(f"{{kids_{f}}}", kids(f"json_extract(x, '$.{f}')"))
+    return out
+
+
+def _p6() -> str:
+    def other(f: str) -> str:
+        return f"""SELECT raw_id, '{f}', name || '/' || coalesce(json_extract_string(y, '$.span.start'), '') || '-' || coalesce(json_extract_string(y, '$.span.end'), ''), name
+      FROM (SELECT raw_id, name, unnest(CASE json_type(x, '$.{f}s') WHEN 'ARRAY' THEN json_extract(x, '$.{f}s[*]') WHEN 'OBJECT' THEN [json_extract(x, '$.{f}s')] ELSE [] END) AS y FROM expected) WHERE json_type(y) = 'OBJECT'"""
+
+    return f"""WITH RECURSIVE {_p6_with()}
+    SELECT DISTINCT raw_id, 'node' AS item_kind, coalesce(json_extract_string(x, '$.node_id'), '') AS item_key, parent AS parent_key FROM node
+    UNION SELECT raw_id, 'case', name, '' FROM cases UNION SELECT raw_id, 'condition', item_key, parent FROM cond
+    UNION {other('exception')} UNION {other('diagnostic')} UNION SELECT raw_id, 'unreadable', '', '' FROM unreadable"""
+
+
+def _p6_conditions() -> str:
+    s = lambda f: f"json_extract_string(x, '$.{f}')"
+    return f"""WITH RECURSIVE {_p6_with()}
+    SELECT raw_id, item_key, parent AS parent_key, ordinal, CAST(depth AS INTEGER) AS depth, {s('type')} AS type, {s('subject_property')} AS subject_property, {s('operator')} AS operator, CAST({s('threshold.value')} AS DOUBLE) AS threshold, {s('threshold.unit')} AS unit FROM cond"""
+
+
 def oracle_sql() -> dict[str, str]:
     p4 = _p4()
-    return {"p3_found": _p3(), "p4_found": p4, "p4_by_month": f"SELECT table_name, seen_month, reason, count(*) AS orphans FROM ({p4}) GROUP BY ALL", "p5_found": _p5()}
+    return {
+        "p3_found": _p3(), "p3_fields": _p3_fields(), "p4_found": p4, "p4_by_month": f"SELECT table_name, seen_month, reason, count(*) AS orphans FROM ({p4}) GROUP BY ALL", "p5_found": _p5(), "p5_tree": _p5_tree(), "p5_descendants": _p5_descendants(),
+        "p6_found": _p6(), "p6_conditions": _p6_conditions(),
+    }

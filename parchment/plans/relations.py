@@ -300,6 +300,10 @@ def oracle_sql() -> dict[str, str]:
     q["source_audit"] = f"WITH {_EV} SELECT source_id, count(*) AS blocks, concat_ws(',', CASE WHEN count(*) FILTER (text IS NULL OR text = '') > 0 THEN 'empty-text' END, CASE WHEN count(*) FILTER (bbox IS NULL) > 0 THEN 'missing-box' END, CASE WHEN count(*) FILTER (pdf_page IS NULL) > 0 THEN 'missing-page' END, CASE WHEN count(DISTINCT source_sha256) > 1 THEN 'several-artifacts' END) AS blockers FROM ev GROUP BY 1"
     h = lambda kind, x: f"'{kind}:' || substr(sha256('{kind}|' || {x}), 1, 24)"
     a, b = "source_artifact_id || '|' || source_key", "owner || '|' || key"
+    q["reference_components"] = f"""WITH RECURSIVE {_EG}, both_ways AS (SELECT source AS a, target AS b FROM eg UNION SELECT target, source FROM eg), reached AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reached r JOIN both_ways e ON r.other = e.a)
+    SELECT node, min(other) AS component FROM reached GROUP BY node"""
+    q["reference_cycles"] = f"""WITH RECURSIVE {_EG}, d AS (SELECT DISTINCT source, target FROM eg), reached AS (SELECT source AS a, target AS b FROM d UNION SELECT r.a, d.target FROM reached r JOIN d ON r.b = d.source)
+    SELECT x.a AS node, max(y.a) AS component FROM reached x JOIN reached y ON x.b = y.a AND y.b = x.a GROUP BY x.a"""
     q["provenance_edges"] = f"WITH {_RF} SELECT {h('provedge', f'{a} || chr(124) || {b} || chr(124) || relation_type')} AS edge_id, {h('provnode', a)} AS source, {h('provnode', b)} AS target, relation_type AS type, count(*) AS occurrences FROM rf WHERE source_artifact_id IS NOT NULL AND source_key IS NOT NULL AND owner IS NOT NULL AND key IS NOT NULL GROUP BY source_artifact_id, source_key, owner, key, relation_type"
     q["visual_topk"] = f"WITH {_TK.format(k=5)} SELECT query_id, neighbour_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM tk"
     q["visual_hybrid"] = f"WITH {_TK.format(k=10)}, s AS (SELECT tk.query_id, neighbour_id, round(score, 6) AS score, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS c FROM tk JOIN embeddings a ON a.vec_id = neighbour_id JOIN embeddings b ON b.vec_id = query_id) SELECT query_id, neighbour_id, round(0.55 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-9) + 0.45 * (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-9), 6) AS fused FROM s WINDOW w AS (PARTITION BY query_id)"
