@@ -45,7 +45,9 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str, date: str |
     rows = rows.select("doc", F.struct("day", "source", F.col("keys.a").alias("a"), F.col("keys.b").alias("b")).alias("r"))
     # read twice, and small beside the texts: two long integers a line
     docs = checkpointed(rows.groupBy("doc").agg(F.min("r").alias("r")).select("doc", "r.*"))
-    same = docs.select("source", "day", F.xxhash64("a", "b").alias("ka"), F.xxhash64("b", "a").alias("kb"), F.array_distinct(F.filter(F.arrays_zip("a", "b"), lambda x: x["a"].isNotNull())).alias("lines"))
+    # a hash passes over nulls, so a line without a letter gets a number; a null text keeps to itself
+    a, b = (F.coalesce(F.transform(c, lambda x: F.coalesce(x, F.lit(0))), F.array(F.lit(1).cast("long"))) for c in ("a", "b"))
+    same = docs.select("source", "day", F.xxhash64(a, b).alias("ka"), F.xxhash64(b, a).alias("kb"), F.array_distinct(F.filter(F.arrays_zip("a", "b"), lambda x: x["a"].isNotNull())).alias("lines"))
     clusters = same.groupBy("source", "ka", "kb").agg(F.count("*").alias("copies"), F.min("day").alias("day"), F.first("lines").alias("lines"))
     one = F.lit(1).cast("long") if by_cluster else F.col("copies")
     # a source's total and its lines' counts in one pass: the total is the row without a line

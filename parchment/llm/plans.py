@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import boilerplate, leaks, normal, scans, subjects, tokens
+from . import boilerplate, leaks, normal, scans, sql, subjects, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,4 +83,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

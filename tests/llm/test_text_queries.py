@@ -1,5 +1,9 @@
 """The text queries run over the smallest tables and give rows of the stated form."""
 
+from collections import Counter
+from pathlib import Path
+
+import duckdb
 import pytest
 
 from parchment.llm import plans
@@ -17,3 +21,17 @@ def test_query(spark, name):
     if name in COLUMNS:
         assert df.columns == COLUMNS[name]
         assert len(rows) == len({str(r) for r in rows})
+
+
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+def test_against_sql(spark, name):
+    d = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for f in Path(d).iterdir():
+        c.sql(f"create view {f.stem} as select * from '{f}'")
+    df = plans.queries()[name](spark, d)
+    cols = sorted(df.columns)
+    want = c.sql(plans.oracle_sql()[name])
+    assert sorted(want.columns) == cols
+    at = [want.columns.index(x) for x in cols]
+    assert Counter(tuple(r[x] for x in cols) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
