@@ -77,11 +77,12 @@ def page_bounds(spark, d):
 
 
 def page_coverage(spark, d):
-    """Pages that a source skips between its first and last one."""
+    """Pages between a source's first and last one of evidence that lack scanned lines, for the sources that have such lines."""
     e = table(spark, d, "evidence").where("pdf_page is not null")
-    span = e.groupBy("source_id").agg(F.min("pdf_page").alias("a"), F.max("pdf_page").alias("b"))
+    lines = table(spark, d, "page_line").select("source_id", "pdf_page").distinct()
+    span = e.groupBy("source_id").agg(F.min("pdf_page").alias("a"), F.max("pdf_page").alias("b")).join(lines.select("source_id").distinct(), "source_id", "left_semi")
     every = span.select("source_id", F.explode(F.sequence("a", "b")).alias("pdf_page"))
-    return every.join(e.select("source_id", "pdf_page").distinct(), ["source_id", "pdf_page"], "left_anti")
+    return every.join(lines, ["source_id", "pdf_page"], "left_anti")
 
 
 def block_text(spark, d):
@@ -140,7 +141,7 @@ def oracle_sql() -> dict[str, str]:
     q["grounding_packet"] = f"WITH {hits} SELECT h.evidence_id AS hit_id, CAST(rank AS INTEGER) AS rank, context FROM h JOIN c USING (evidence_id)"
     q["citation_check"] = f"WITH {hits} SELECT evidence_id AS citation, evidence_id IN (SELECT unnest(string_split(context, ',')) FROM c JOIN h USING (evidence_id)) AS supported FROM e2 WHERE contains(text, 'landing')"
     q["page_bounds"] = f"WITH {_EV} SELECT source_id, pdf_page, min(bbox[1]) AS x0, min(bbox[2]) AS y0, max(bbox[3]) AS x1, max(bbox[4]) AS y1 FROM ev WHERE bbox IS NOT NULL AND pdf_page IS NOT NULL GROUP BY ALL"
-    q["page_coverage"] = "SELECT source_id, CAST(u.p AS INTEGER) AS pdf_page FROM (SELECT source_id, range(min(pdf_page), max(pdf_page) + 1) AS ps FROM evidence GROUP BY 1) s, unnest(ps) AS u(p) WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.source_id = s.source_id AND e.pdf_page = u.p)"
+    q["page_coverage"] = "SELECT source_id, CAST(u.p AS INTEGER) AS pdf_page FROM (SELECT source_id, range(min(pdf_page), max(pdf_page) + 1) AS ps FROM evidence WHERE source_id IN (SELECT source_id FROM page_line) GROUP BY 1) s, unnest(ps) AS u(p) WHERE NOT EXISTS (SELECT 1 FROM page_line e WHERE e.source_id = s.source_id AND e.pdf_page = u.p)"
     q["block_text"] = f"WITH {_EV} SELECT evidence_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '[ \\t\\n]+', ' ', 'g')) AS text FROM ev WHERE text IS NOT NULL"
     q["publication_summary"] = f"WITH {_EV} SELECT publication_key, extraction_method, count(*) AS blocks, count(DISTINCT pdf_page) AS pages FROM ev GROUP BY CUBE (publication_key, extraction_method)"
     return q

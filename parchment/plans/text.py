@@ -81,7 +81,9 @@ def reading_order(spark, d):
 
 
 def spacing_repair_candidates(spark, d):
-    return layout.spacing_repairs(table(spark, d, "documents"))
+    """Over part names, some of them with their words run together, as a scanner would."""
+    p = table(spark, d, "part")
+    return layout.spacing_repairs(p.select(F.when(F.col("p_size") == 7, F.translate("p_name", " ", "")).otherwise(F.col("p_name")).alias("text")))
 
 
 def hyphenation_lexicon(spark, d):
@@ -133,8 +135,12 @@ def oracle_sql() -> dict[str, str]:
     q["body_font"] = f"WITH {_EV}, w AS (SELECT source_id, TRY_CAST(observed_metadata['font_size'] AS DOUBLE) AS v, least(length(text), 200) AS w FROM ev WHERE length(trim(text)) >= 20), r AS (SELECT source_id, unnest(list_resize([v], w, v)) AS v FROM w WHERE v IS NOT NULL) SELECT source_id, round(median(v), 3) AS body, round(round(median(v), 3) * 1.15, 3) AS threshold FROM r GROUP BY 1"
     q["page_order_profile"] = f"WITH {_PL} SELECT source_id, pdf_page, count(*) AS lines, count(*) FILTER ({_WIDE}) AS wide_lines, count(*) FILTER (NOT {_WIDE} AND x0 < 297.5) AS left_lines, count(*) FILTER (NOT {_WIDE} AND x0 >= 297.5) AS right_lines, quantile_cont(x0, 0.5) AS x_median, quantile_cont(x1 - x0, 0.75) AS width_p75, left_lines >= 4 AND right_lines >= 4 AND wide_lines * 2 <= lines AS two_columns FROM pl WHERE pdf_page IS NOT NULL AND x0 IS NOT NULL GROUP BY ALL"
     q["reading_order"] = f"WITH {_PL}, b AS (SELECT *, {_WIDE} AS wide, sum(CASE WHEN {_WIDE} THEN 2 ELSE 0 END) OVER (PARTITION BY source_id, pdf_page ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING) - CASE WHEN {_WIDE} THEN 1 ELSE 0 END AS band FROM pl WHERE pdf_page IS NOT NULL AND x0 IS NOT NULL) SELECT line_id, source_id, pdf_page, CAST(row_number() OVER (PARTITION BY source_id, pdf_page ORDER BY band, CASE WHEN wide THEN 0 WHEN x0 < 297.5 THEN 1 ELSE 2 END, y0, x0, line_id) AS INTEGER) AS reading_no FROM b"
+    hit = r"(^|[^A-Za-z])(Table|Figure|Equation|Exception|Section|Article) [0-9]+(\.[0-9]+)*"
+    q["code_reference_spans"] = f"""WITH h AS (SELECT doc_id, regexp_extract_all(text, '{hit}') AS hits, string_split_regex(text, '{hit}') AS gaps FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS n, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM h),
+    e AS (SELECT doc_id, n, hit, regexp_replace(hit, '^[^A-Za-z]', '') AS own, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY n) AS "end" FROM u)
+    SELECT doc_id, lower(split_part(own, ' ', 1)) AS kind, split_part(own, ' ', 2) AS target, CAST("end" - length(own) AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end" FROM e"""
     pre = ", ".join(f"'{p}'" for p in layout.PREFIXES)
-    q["spacing_repair_candidates"] = f"""WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT u.x AS token, count(*) AS n FROM t, unnest(t.t) AS u(x) WHERE length(u.x) >= 5 GROUP BY 1),
+    q["spacing_repair_candidates"] = f"""WITH t AS (SELECT regexp_extract_all(lower(CASE p_size WHEN 7 THEN replace(p_name, ' ', '') ELSE p_name END), '[a-z]+') AS t FROM part WHERE p_name IS NOT NULL), w AS (SELECT u.x AS token, count(*) AS n FROM t, unnest(t.t) AS u(x) WHERE length(u.x) >= 5 GROUP BY 1),
     p AS (SELECT t.t[u.i] AS l, t.t[u.i + 1] AS r, count(*) AS pairs FROM t, unnest(range(1, len(t.t))) AS u(i) GROUP BY 1, 2 HAVING pairs >= 2),
     s AS (SELECT token, n, token[1:u.i] AS l, token[u.i + 1:] AS r FROM w, unnest(range(2, length(token) - 1)) AS u(i)),
     k AS (SELECT s.token, s.l, s.r, p.pairs, least(length(s.l), length(s.r)) AS bal FROM s JOIN p USING (l, r) WHERE p.pairs >= 2 * s.n AND s.l NOT IN ({pre}))
