@@ -18,39 +18,38 @@ def nearest_parent(df: DataFrame, owner: str, key: str, separator: str = r"\.")
     return d.join(hit, [owner, key], "left").select(owner, key, "parent")
 
 
-def marker_kind(marker: str) -> tuple[str, int] | None:
-    """('number' | 'lower' | 'upper' | 'roman', ordinal) of '(1)', '(a)', '(A)'."""
-    m = marker.strip("()").strip()
+def marker_kind(marker: str) -> tuple[str, int | None]:
+    """('number' | 'lower' | 'upper' | 'other', ordinal) of '(1)', '(a)', '(A)'; other markers, such as '(ii)', have no ordinal."""
+    m = marker.strip().strip("()").strip()
     if m.isdecimal():
         return "number", int(m)
     if len(m) == 1 and m.isascii() and m.isalpha():
         return ("upper" if m.isupper() else "lower"), ord(m.lower()) - 96
-    return None
+    return "other", None
 
 
 def marker_parents(rows: list[tuple[str, str]]) -> list[tuple[str, str | None, str]]:
-    """(id, parent id, state) of list items in order: a marker of an open kind continues that level, a new kind opens one below.
+    """(id, parent id, state) of a section's list items in order; null is the section itself.
 
-    state: ok, orphan (a level that doesn't begin with its first ordinal), jump (an ordinal left out), unknown.
+    A capital letter stands under the section and closes all that is open. Any other marker
+    that follows the last open one of its kind by exactly one is its sibling; otherwise it
+    opens a level below the last open item. state is ambiguous where nothing is open for such
+    a marker, else ok.
     """
-    stack: list[tuple[str, int, str]] = []
+    open_: list[tuple[str, int | None, str]] = []
     out = []
     for ident, marker in rows:
-        k = marker_kind(marker)
-        if k is None:
-            out.append((ident, stack[-1][2] if stack else None, "unknown"))
-            continue
-        kind, n = k
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == kind and stack[i][1] < n), None)
-        if at is None:
-            parent = stack[-1][2] if stack else None
-            out.append((ident, parent, "ok" if n == 1 else "orphan"))
-            stack.append((kind, n, ident))
-        else:
-            jump = n != stack[at][1] + 1
-            del stack[at + 1 :]
-            stack[at] = (kind, n, ident)
-            out.append((ident, stack[at - 1][2] if at else None, "jump" if jump else "ok"))
+        kind, n = marker_kind(marker)
+        same = next((i for i in reversed(range(len(open_))) if open_[i][0] == kind), None)
+        state = "ok"
+        if kind == "upper":
+            open_ = []
+        elif not open_:
+            state = "ambiguous"
+        elif same is not None and n is not None and open_[same][1] == n - 1:
+            open_ = open_[:same]
+        out.append((ident, open_[-1][2] if open_ else None, state))
+        open_.append((kind, n, ident))
     return out
 
 

@@ -205,11 +205,12 @@ def table_rows_detect(spark, d):
 
 
 def ruled_tables(spark, d):
-    """Grids of the rules that the boxes' edges make."""
-    b = _boxes(spark, d)
-    across = b.select("source_id", "pdf_page", "x0", F.col("y0").alias("y0"), "x1", F.col("y0").alias("y1"))
-    down = b.select("source_id", "pdf_page", "x0", "y0", F.col("x0").alias("x1"), "y1")
-    return geometry.ruled_tables(across.unionByName(down))
+    """Tables ruled around the boxes: a level above each order, as long as its items, and uprights at its items' left edges."""
+    b = _boxes(spark, d).withColumn("text", F.col("id"))
+    row = F.split("id", "-")[0]
+    across = b.groupBy("source_id", "pdf_page", row.alias("row")).agg(F.max("x0").alias("x1"), F.min("y0").alias("y0")).select("source_id", "pdf_page", F.lit(70.0).alias("x0"), "y0", (F.col("x1") + 60).alias("x1"), F.col("y0").alias("y1"))
+    down = b.select("source_id", "pdf_page", "x0", "y0", F.col("x0").alias("x1"), (F.col("y0") + 15).alias("y1"))
+    return geometry.ruled_tables(across.unionByName(down), b).select("source_id", "pdf_page", "table_no", "rows", "columns", "x0", "y0", "x1", "y1", F.size("cells").alias("filled"))
 
 
 def box_clusters(spark, d):

@@ -153,14 +153,22 @@ def test_geometry(spark):
     r = geometry.table_rows(df).collect()
     assert [(x.row_no, x.cells) for x in r] == [(1, 2)]
     assert sorted(x.members for x in geometry.box_clusters(df, 31.0).collect()) == [1, 2]
-    rules = spark.createDataFrame([("s", 1, 0.0, y, 90.0, y) for y in (0.0, 10.0, 10.5, 20.0)] + [("s", 1, x, 0.0, x, 20.0) for x in (0.0, 45.0, 90.0)], "source_id string, pdf_page int, x0 double, y0 double, x1 double, y1 double")
-    t = geometry.ruled_tables(rules).first()
-    assert (t.rows, t["columns"]) == (2, 2)
+    kind = "source_id string, pdf_page int, x0 double, y0 double, x1 double, y1 double"
+    upper = [("s", 1, 0.0, y, 200.0, y) for y in (0.0, 10.0, 10.5, 20.0)] + [("s", 1, x, 0.0, x, 20.0) for x in (0.0, 100.0, 200.0)]
+    lower = [("s", 1, 0.0, y, 200.0, y) for y in (300.0, 320.0, 340.0)] + [("s", 1, 0.0, 300.0, 0.0, 340.0)]
+    beside = [("s", 1, 300.0, y, 500.0, y) for y in (5.0, 15.0, 25.0)]
+    stray = [("s", 1, 0.0, 600.0, 590.0, 600.0), ("s", 1, 10.0, 700.0, 30.0, 700.0), ("s", 2, 0.0, 0.0, 200.0, 0.0)]
+    text = spark.createDataFrame([("s", 1, "f1", "left", 10.0, 2.0, 40.0, 8.0), ("s", 1, "f2", "cell", 50.0, 2.0, 90.0, 8.0), ("s", 1, "f3", "right", 110.0, 12.0, 150.0, 18.0), ("s", 1, "f4", "outside", 10.0, 100.0, 40.0, 108.0), ("s", 1, "f5", "low", 10.0, 305.0, 40.0, 312.0)], "source_id string, pdf_page int, id string, text string, x0 double, y0 double, x1 double, y1 double")
+    got = geometry.ruled_tables(spark.createDataFrame(upper + lower + beside + stray, kind), text).orderBy("table_no").collect()
+    assert [(t.table_no, t.rows, t["columns"], t.x0, t.y0, t.x1, t.y1) for t in got] == [(1, 2, 2, 0.0, 0.0, 200.0, 20.0), (2, 2, 1, 300.0, 5.0, 500.0, 25.0), (3, 2, 1, 0.0, 300.0, 200.0, 340.0)]
+    assert [[(c.row_no, c.column_no, c.text) for c in t.cells] for t in got] == [[(1, 1, "left cell"), (2, 2, "right")], [], [(1, 1, "low")]]
+    assert geometry.cluster_positions([1.0, 2.5, 9.0, 3.0, 12.0]) == [2.167, 9.0, 12.0] and geometry.cluster_positions([]) == []
 
 
 def test_markers_and_prefixes(spark):
-    got = trees.marker_parents([("1", "(a)"), ("2", "(1)"), ("3", "(2)"), ("4", "(b)"), ("5", "(d)"), ("6", "?")])
-    assert got == [("1", None, "ok"), ("2", "1", "ok"), ("3", "1", "ok"), ("4", None, "ok"), ("5", None, "jump"), ("6", "5", "unknown")]
+    got = trees.marker_parents([("1", "(A)"), ("2", "(1)"), ("3", "(2)"), ("4", "(a)"), ("5", "(b)"), ("6", "(3)"), ("7", "(ii)"), ("8", "(5)"), ("9", "(B)"), ("10", "(1)")])
+    assert got == [("1", None, "ok"), ("2", "1", "ok"), ("3", "1", "ok"), ("4", "3", "ok"), ("5", "3", "ok"), ("6", "1", "ok"), ("7", "6", "ok"), ("8", "7", "ok"), ("9", None, "ok"), ("10", "9", "ok")]
+    assert trees.marker_parents([("1", "(1)"), ("2", "(2)")]) == [("1", None, "ambiguous"), ("2", None, "ok")]
     df = spark.createDataFrame([("o", "1"), ("o", "1.2.3.4"), ("o", "1.2"), ("p", "1.2.9")], "owner string, key string")
     assert {(r.owner, r.key): r.parent for r in trees.nearest_parent(df, "owner", "key").collect()} == {("o", "1"): None, ("o", "1.2.3.4"): "1.2", ("o", "1.2"): "1", ("p", "1.2.9"): None}
 
