@@ -118,22 +118,23 @@ def with_context(df: DataFrame, before: int = 1, after: int = 1, page_local: boo
     The order runs within a page, or over the pages of one source. A source is cut into cells
     of ``pages`` pages, each sorted on its own; a row near a cell's edge takes the missing
     neighbours from the ends of the next ``before`` or ``after`` cells, none of which is
-    empty. So no source is sorted in one task. Rows without a page stand first, in a cell of
-    their own.
+    empty. So no source is sorted in one task. Rows without a page stand first, in cells of
+    64 block numbers. Of a cell only the ends are gathered.
     """
-    key = F.struct("pdf_page", "block_index", "evidence_id")
+    missing = F.floor(F.coalesce("block_index", F.lit(-1)) / 64) - F.lit(1 << 40)
     part = ["source_id", "pdf_page"] if page_local else ["source_id", "_cell"]
-    d = df.select("evidence_id", "source_id", "pdf_page", "block_index").withColumn("_cell", F.coalesce(F.floor(F.col("pdf_page") / pages), F.lit(-1)))
+    d = df.select("evidence_id", "source_id", "pdf_page", "block_index").withColumn("_cell", F.coalesce(F.floor(F.col("pdf_page") / pages), missing))
     w = Window.partitionBy(*part).orderBy("pdf_page", "block_index", "evidence_id")
     own = F.collect_list("evidence_id").over(w.rowsBetween(-before, after))
     if page_local:
         return d.select("evidence_id", "source_id", "pdf_page", "block_index", F.array_join(own, ",").alias("context"))
-    ids = F.transform(F.sort_array(F.collect_list(key)), lambda x: x["evidence_id"])
-    ends = d.groupBy("source_id", "_cell").agg(ids.alias("_ids"))
-    ends = ends.select("source_id", "_cell", F.size("_ids").alias("_n"), F.slice("_ids", F.greatest(F.size("_ids") - before + 1, F.lit(1)), F.lit(max(1, before))).alias("_tail"), F.slice("_ids", 1, max(1, after)).alias("_head"))
+    up = Window.partitionBy(*part).orderBy(F.col("pdf_page").desc(), F.col("block_index").desc(), F.col("evidence_id").desc())
+    d = d.withColumn("_r", F.row_number().over(w)).withColumn("_u", F.row_number().over(up))
+    some = lambda n, c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c) <= max(1, n), F.struct("_r", "evidence_id")))), lambda x: x["evidence_id"])
+    ends = d.groupBy("source_id", "_cell").agg(F.count("*").alias("_n"), some(before, "_u").alias("_tail"), some(after, "_r").alias("_head"))
     c = Window.partitionBy("source_id").orderBy("_cell")
     ends = ends.withColumn("_prev", F.flatten(F.collect_list("_tail").over(c.rowsBetween(-before, -1))) if before else F.array().cast("array<string>")).withColumn("_next", F.flatten(F.collect_list("_head").over(c.rowsBetween(1, after))) if after else F.array().cast("array<string>"))
-    j = d.withColumn("_own", own).withColumn("_r", F.row_number().over(w)).alias("l").join(ends.alias("r"), F.col("l.source_id").eqNullSafe(F.col("r.source_id")) & (F.col("l._cell") == F.col("r._cell"))).select("l.*", "r._n", "r._prev", "r._next")
+    j = d.withColumn("_own", own).alias("l").join(ends.alias("r"), F.col("l.source_id").eqNullSafe(F.col("r.source_id")) & (F.col("l._cell") == F.col("r._cell"))).select("l.*", "r._n", "r._prev", "r._next")
     lack_b, lack_a = F.greatest(F.lit(before) - (F.col("_r") - 1), F.lit(0)), F.greatest(F.lit(after) - (F.col("_n") - F.col("_r")), F.lit(0))
     take_b = F.least(lack_b, F.size("_prev"))
     left = F.when(take_b > 0, F.slice("_prev", F.size("_prev") - take_b + 1, take_b)).otherwise(F.array().cast("array<string>"))
