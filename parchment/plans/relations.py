@@ -289,9 +289,9 @@ def oracle_sql() -> dict[str, str]:
     q["amendment_overlaps"] = f"WITH {_IV} SELECT a.o_custkey, least(a.o_orderkey, b.o_orderkey) AS a, greatest(a.o_orderkey, b.o_orderkey) AS b FROM iv a JOIN iv b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.s < coalesce(b.e, 1000000) AND b.s < coalesce(a.e, 1000000)"
     q["amendment_active"] = f"WITH {_IV} SELECT o_custkey, o_orderkey FROM iv WHERE s <= 3000 AND (e IS NULL OR 3000 < e)"
     q["lineage_controlling"] = "SELECT user_id, arg_max(event_id, {'p': CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END, 's': event_id}) AS event_id FROM events GROUP BY 1"
-    q["change_reconcile"] = """WITH o AS (SELECT o_orderkey AS id, o_custkey % 700 AS t, o_orderstatus AS k, o_orderkey % 97 AS m FROM orders WHERE o_orderkey % 97 < 2), p AS (SELECT e.id AS e, e.k AS ek, x.id AS x, x.k AS xk FROM o e JOIN o x ON e.m = 0 AND x.m = 1 AND e.t = x.t),
-      s AS (SELECT e, count(*) FILTER (ek = xk) AS same FROM p GROUP BY 1) SELECT o.id AS change_id, CASE WHEN s.e IS NULL THEN 'expected_not_observed' WHEN same = 1 THEN 'confirmed' WHEN same > 1 THEN 'ambiguous' ELSE 'contradicted' END AS outcome FROM o LEFT JOIN s ON o.id = s.e WHERE o.m = 0
-      UNION ALL SELECT id, 'unexpected_observed' FROM o WHERE m = 1 AND id NOT IN (SELECT x FROM p)"""
+    q["change_reconcile"] = """WITH o AS (SELECT o_orderkey AS id, o_custkey AS t, o_orderstatus AS k, o_orderkey % 2 = 0 AS expected FROM orders), met AS (SELECT t, count(*) AS n FROM o WHERE NOT expected GROUP BY 1), same AS (SELECT t, k, count(*) AS n FROM o WHERE NOT expected GROUP BY 1, 2)
+      SELECT o.id AS change_id, CASE WHEN met.n IS NULL THEN 'expected_not_observed' WHEN same.n IS NULL THEN 'contradicted' WHEN same.n = 1 THEN 'confirmed' ELSE 'ambiguous' END AS outcome FROM o LEFT JOIN met ON o.t = met.t LEFT JOIN same ON o.t = same.t AND o.k = same.k WHERE expected
+      UNION ALL SELECT id, 'unexpected_observed' FROM o WHERE NOT expected AND t NOT IN (SELECT t FROM o WHERE expected)"""
     q["ownership_assign"] = f"""WITH {_EV}, b AS (SELECT evidence_id, source_id || '#' || pdf_page AS page, bbox[1] AS x0, bbox[2] AS y0, bbox[4] AS y1, regexp_matches(text, '^(Table|Figure)') AS cap, extraction_method LIKE 'ocr%' AS ruled FROM ev WHERE bbox IS NOT NULL AND pdf_page IS NOT NULL AND text IS NOT NULL),
       m AS (SELECT c.evidence_id AS cid, c.y0, c.y1, c.ruled, p.evidence_id AS pid, p.y0 AS py0, p.y1 AS py1, p.y0 < c.y1 + 3.0 AND c.y0 < p.y1 + 3.0 AS ov, p.y1 <= c.y0 + 3.0 AS ab FROM b c JOIN b p ON NOT c.cap AND p.cap AND c.page = p.page AND abs(c.x0 - p.x0) <= 3.0),
       g AS (SELECT cid, count(*) AS n, min(pid) AS only1, bool_or(ruled) AS ruled, count(*) FILTER (ov) AS nov, min(pid) FILTER (ov) AS ovp, max(py1) FILTER (ab) AS top, arg_max(pid, py1) FILTER (ab) AS last1, list(py1) FILTER (ab) AS ys FROM m GROUP BY 1),
@@ -307,6 +307,8 @@ def oracle_sql() -> dict[str, str]:
     SELECT x.a AS node, max(y.a) AS component FROM reached x JOIN reached y ON x.b = y.a AND y.b = x.a GROUP BY x.a"""
     q["provenance_edges"] = f"WITH {_RF} SELECT {h('provedge', f'{a} || chr(124) || {b} || chr(124) || relation_type')} AS edge_id, {h('provnode', a)} AS source, {h('provnode', b)} AS target, relation_type AS type, count(*) AS occurrences FROM rf WHERE source_artifact_id IS NOT NULL AND source_key IS NOT NULL AND owner IS NOT NULL AND key IS NOT NULL GROUP BY source_artifact_id, source_key, owner, key, relation_type"
     q["visual_topk"] = f"WITH {_TK.format(k=5)} SELECT query_id, neighbour_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM tk"
-    q["visual_hybrid"] = f"WITH {_TK.format(k=10)}, s AS (SELECT tk.query_id, neighbour_id, round(score, 6) AS score, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS c FROM tk JOIN embeddings a ON a.vec_id = neighbour_id JOIN embeddings b ON b.vec_id = query_id) SELECT query_id, neighbour_id, round(0.55 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-9) + 0.45 * (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-9), 6) AS fused FROM s WINDOW w AS (PARTITION BY query_id)"
-    q["visual_best_per_label"] = f"WITH {_TK.format(k=10)} SELECT query_id, label, max(round(score, 6)) AS score FROM tk JOIN embeddings ON vec_id = neighbour_id GROUP BY ALL"
+    pair = "s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, b.label, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s, CASE WHEN a.label IS NOT NULL AND b.label IS NOT NULL THEN CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END END AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL)"
+    q["visual_hybrid"] = f"""WITH {pair}, e AS (SELECT *, min(s) OVER w AS sl, max(s) OVER w AS sh, coalesce(min(c) OVER w, 0.0) AS cl, coalesce(max(c) OVER w, 0.0) AS ch FROM s WINDOW w AS (PARTITION BY query_id)),
+    f AS (SELECT query_id, neighbour_id, 0.55 * (s - sl) / (sh - sl + 1e-9) + 0.45 * (coalesce(c, cl) - cl) / (ch - cl + 1e-9) AS f FROM e) SELECT query_id, neighbour_id, round(f, 6) AS fused FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f DESC, neighbour_id) <= 10"""
+    q["visual_best_per_label"] = f"WITH {pair} SELECT query_id, label, round(max(s), 6) AS score FROM s GROUP BY ALL"
     return q
