@@ -30,9 +30,8 @@ _ORDER = ("source_id", "pdf_page", "block_index", "evidence_id")
 
 
 def in_source_order(df: DataFrame, limit: int | None) -> DataFrame:
-    """Physical order, not rank; ``limit`` is the search's own parameter."""
-    out = df.orderBy(*[F.col(c).asc_nulls_first() for c in _ORDER])
-    return out.limit(limit) if limit else out
+    """The first ``limit`` in physical order, not by rank; ``limit`` is the search's own parameter. Without one nothing is sorted: the order of all hits is left to whoever writes them."""
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in _ORDER]).limit(limit) if limit else df
 
 
 def _hits(df: DataFrame, score: Column, method: str, limit: int | None) -> DataFrame:

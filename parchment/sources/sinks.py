@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -68,11 +67,16 @@ def state_markdown(df: DataFrame, title: str, state: str) -> str:
     return "\n".join([f"# {title}", "", "| state | rows |", "| --- | --- |", *[f"| {r[0] if r[0] is not None else '(none)'} | {r[1]} |" for r in rows], ""])
 
 
-def prepare_folder(path: str, marker: str = "manifest.json") -> Path:
-    """An output folder that is new, empty or earlier made here; any other content is refused."""
-    p = Path(path)
-    if p.exists() and any(p.iterdir()) and not (p / marker).exists():
+def prepare_folder(spark: SparkSession, path: str, marker: str = "manifest.json") -> str:
+    """An output folder on any file system that Spark reaches: new, empty or earlier made here; any other content is refused."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    mark = sc._jvm.org.apache.hadoop.fs.Path(at, marker)
+    if fs.exists(at) and len(fs.listStatus(at)) and not fs.exists(mark):
         raise ValueError(f"{path} holds files that were not made here")
-    p.mkdir(parents=True, exist_ok=True)
-    (p / marker).write_text(json.dumps({"made_by": "parchment"}, sort_keys=True))
-    return p
+    fs.mkdirs(at)
+    out = fs.create(mark, True)
+    out.write(bytearray(json.dumps({"made_by": "parchment"}, sort_keys=True).encode()))
+    out.close()
+    return path

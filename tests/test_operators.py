@@ -223,7 +223,10 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "own").mkdir()
     (tmp_path / "own" / "x").write_text("")
     with pytest.raises(ValueError):
-        sinks.prepare_folder(str(tmp_path / "own"))
+        sinks.prepare_folder(spark, str(tmp_path / "own"))
+    for _ in range(2):
+        sinks.prepare_folder(spark, str(tmp_path / "new"))
+    assert (tmp_path / "new" / "manifest.json").exists()
 
 
 def test_running_values_over_cells(spark):
