@@ -35,6 +35,9 @@ SHARE, LEAST = 2e-7, 4
 RARER = 25
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@|!$€](?=[^\W_]))*|[@](?:[^\W_]|[@])*", re.UNICODE)
 _ASCII_TOKEN = re.compile(r"[A-Za-z0-9@]+(?:[|!$][A-Za-z0-9@]+)*")
+_ASCII_ROW = re.compile(_ASCII_TOKEN.pattern + r"|\n")
+#: A line end that may bear a cut mark, or a sign that the transducer maps.
+_MARKED_END = re.compile(r"-[^\S\n]*(?:\n|\Z)|[\x00-\x09\x0b-\x1f\x7f]").search
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _ROMAN = re.compile(r"(?=.)m{0,3}(c[md]|d?c{0,3})(x[cl]|l?x{0,3})(i[xv]|v?i{0,3})$", re.I)
 _VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
@@ -166,6 +169,18 @@ class Block:
 
     def __init__(self, lines: list[str]) -> None:
         run = transducer()
+        text = "\n".join(lines)
+        if text.isascii() and not _MARKED_END(text):
+            # nothing to take off and nothing to map: all words at once, line ends among them
+            self.plain, self.cut = [x.rstrip() for x in lines], [""] * len(lines)
+            self.words = [[]]
+            row = self.words[0]
+            for w in _ASCII_ROW.findall(text):
+                if w == "\n":
+                    self.words.append(row := [])
+                else:
+                    row.append(w)
+            return
         self.cut, self.plain, self.words = [], [], []
         for raw in lines:
             t = raw.rstrip()
@@ -178,9 +193,12 @@ class Block:
             self.words.append(_ASCII_TOKEN.findall(p) if p.isascii() else _TOKEN.findall(p))
 
 
+_CLOSED = frozenset(".,;:")
+
+
 def title_form(line: str) -> bool:
     """Whether a line is written as a title: a few words in capitals or each with a capital, no sentence."""
-    if len(line) > 120 or line[-1:] in (".", ",", ";", ":") or line[:1].islower():
+    if len(line) > 120 or line[-1:] in _CLOSED or line[:1].islower():
         return False
     bare = re.sub(r"[\d.]*\d", " ", line)
     ws = re.findall(r"[^\W\d_]+", bare)
@@ -328,6 +346,11 @@ def decode(words: list[str], lex: Lexicon, stream: Stream | None = None, first:
         base, t = best[i][0], first + i
         if base == math.inf:
             continue
+        if not open_[i] and not (i + 1 < n and open_[i + 1]):
+            # a known word with no other way; its arc is spelt out on the way back
+            if base < best[i + 1][0]:
+                best[i + 1] = (base, i, None)
+            continue
 
         def arc(to: int, cost: float, what: Arc, base: float = base, i: int = i) -> None:
             if to <= n and base + cost < best[to][0]:
@@ -354,6 +377,7 @@ def decode(words: list[str], lex: Lexicon, stream: Stream | None = None, first:
     i = n
     while i:
         _, before, what = best[i]
+        what = what or Arc((first + before,), words[before], 0, "word")
         out.append(what)
         if len(what.at) > 1 and what.at[1] > what.at[0] + 1:
             between = slice(what.at[0] + 1 - first, what.at[1] - first)
@@ -383,7 +407,8 @@ def readings(block: Block, lex: Lexicon, titles: set[str], page: int | None, pri
     head, nums = edges(block, page, printed)
     headers = set()
     for i in range(len(block.plain)) if stem else sorted(head):
-        if (i in head or 2 <= len(block.words[i]) <= 9) and title_form(corrected(block.plain[i], block.words[i], lex)):
+        # no misreading changes a line's last sign, so most lines of prose end here
+        if (i in head or 2 <= len(block.words[i]) <= 9) and block.plain[i][-1:] not in _CLOSED and title_form(corrected(block.plain[i], block.words[i], lex)):
             fixed = skeleton([lex[w][0] or w for w in block.words[i]])
             own = fixed.removesuffix("\t^").split(" ")
             # a publication's own title is no content of a block, even where a notice stands before it
@@ -501,27 +526,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for table, source, page, printed, text in zip(*(b.column(i).to_pylist() for i in range(5))):
-            source = f"{table}|{source or ''}"
             lines = text.split("\n")
-            block = Block(lines)
-            for ws in block.words:
-                seen.update(ws)
+            plain = text.isascii() and not _MARKED_END(text)
+            block = None if plain else Block(lines)
+            if plain:
+                seen.update(_ASCII_TOKEN.findall(text))
+            else:
+                for ws in block.words:
+                    seen.update(ws)
             if "-" in text:
-                for line in block.plain:
+                for line in lines if plain else block.plain:
                     if "-" in line:
                         for c in _COMPOUND.findall(line):
                             ps = c.lower().split("-")
                             pairs.update(f"{x}-{y}" for x, y in zip(ps, ps[1:]))
             head = None
-            for i, ws in enumerate(block.words):
+            for i, line in enumerate(lines if plain else block.plain):
+                # what no title can be is told before its words are found
+                line = line.rstrip() if plain else line
+                if not line or line[-1] in _CLOSED or not (line[0].isupper() or line[0].isdecimal() or not line[0].isalnum()) or not title_form(line):
+                    continue
+                ws = _ASCII_TOKEN.findall(line) if plain else block.words[i]
                 if 1 < len(ws) <= 12 and ws[0][:1].isupper() | ws[0][:1].isdecimal():
-                    form = title_form(block.plain[i])
-                    if form and head is None:
+                    if head is None:
+                        block = block or Block(lines)
                         head = edges(block, page, printed)[0]
-                    if form and (key := skeleton(ws)):
-                        t = titles.setdefault((source, key), [0, 0])
+                    if key := skeleton(ws):
+                        t = titles.setdefault((f"{table}|{source or ''}", key), [0, 0])
                         t[0] += 1
-                        t[1] += bool(form and i in head)
+                        t[1] += i in head
         if len(seen) + len(titles) > 400_000:
             yield from flush()
     yield from flush()
