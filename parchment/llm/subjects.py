@@ -34,6 +34,8 @@ from .normal import transducer
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?](?=[ \n])|\n").findall
 #: Terms that one broadcast holds (8 bytes each); a larger table of them is joined by shuffle.
 TERM_ROWS = 2_000_000
+#: Labels of representatives that one broadcast holds (24 bytes each).
+HUB_ROWS = 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MOST = 2**64 - 1
 
@@ -316,7 +318,9 @@ class Subjects:
         topical = checkpointed(often.join(spoken, "term", "left").where(f"mass is null or top >= {0.4} * mass").select("term"))
         self.rows = stored(features(words, topical, repetitions))
         self.links = checkpointed(similar(self.rows.select("doc", "mins", "terms"), similarity))
-        self.hubs = self.links.select("rep").distinct().count()
+        self.reps = checkpointed(self.links.select("rep").distinct())
+        # a representative's labels: at most one for each subject
+        self.hubs, self.each = self.reps.count(), max(1, n)
         self.seeds = checkpointed(self._trusted(seeds))
         self.labels = self._propagated(rounds)
         told = self.labels.where("share >= 0.1").groupBy("doc").agg(F.collect_list(F.struct(F.col("subject").cast("long").alias("subject"), "share")).alias("labels"))
@@ -324,9 +328,9 @@ class Subjects:
         self.labelled = stored(self.rows.select("doc", "sentences").join(told, "doc", "left").select("doc", F.coalesce("labels", empty).alias("labels"), "sentences"))
         self.weights = self._taught(least, purity)
 
-    def _few(self, df: DataFrame) -> DataFrame:
-        """Representatives' labels: broadcast if there are few representatives."""
-        return F.broadcast(df) if self.hubs <= BROADCAST_ROWS else df
+    def _with_hubs(self, links: DataFrame, hub: DataFrame) -> DataFrame:
+        """Links joined with their representatives' labels: by broadcast if these are few, else salted, as a third of all documents may have one representative."""
+        return links.join(F.broadcast(hub), "rep") if self.hubs * self.each <= HUB_ROWS else salted_join(links, hub, ["rep"], "doc")
 
     def _up(self, labels: DataFrame) -> DataFrame:
         """(rep, subject, mass) from the members' labels; added up before the shuffle."""
@@ -336,7 +340,8 @@ class Subjects:
         """Seeds that the other labelled documents near them bear out; those without such neighbours are trusted."""
         up = checkpointed(self._up(seeds))
         # what a representative knows, without the document's own word; a representative's own label counts too
-        near = self.links.join(seeds.select("doc").distinct(), "doc", "left_semi").join(self._few(up), "rep").join(seeds.select("doc", "subject", "share"), ["doc", "subject"], "left")
+        near = self.links.join(seeds.select("doc").distinct(), "doc", "left_semi")
+        near = self._with_hubs(near, up).join(seeds.select("doc", "subject", "share"), ["doc", "subject"], "left")
         seen = near.groupBy("doc", "subject").agg(F.sum(F.col("weight") * (F.col("mass") - F.coalesce("share", F.lit(0.0)) * F.col("weight"))).alias("mass")).where("mass > 1e-9")
         seen = seen.withColumn("part", F.col("mass") / F.sum("mass").over(Window.partitionBy("doc")))
         told = seen.groupBy("doc").agg(F.sum("mass").alias("all"))
@@ -353,10 +358,10 @@ class Subjects:
         """(doc, subject, share) after ``rounds``, seeds clamped in each of them and in the end."""
         labels = self.seeds
         for _ in range(rounds):
-            up = self._up(labels).unionByName(labels.join(self.links.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("rep"), "subject", F.col("share").alias("mass")))
+            up = self._up(labels).unionByName(labels.join(self.reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("rep"), "subject", F.col("share").alias("mass")))
             hub = up.groupBy("rep", "subject").agg(F.sum("mass").alias("mass")).withColumn("part", F.col("mass") / F.sum("mass").over(Window.partitionBy("rep")))
             hub = checkpointed(hub.where(f"part >= {2 * self.reach}").select("rep", "subject", "part"))
-            down = self.links.join(self._few(hub), "rep").groupBy("doc", "subject").agg(F.sum(F.col("weight") * F.col("part")).alias("mass"))
+            down = self._with_hubs(self.links, hub).groupBy("doc", "subject").agg(F.sum(F.col("weight") * F.col("part")).alias("mass"))
             met = down.unionByName(hub.select(F.col("rep").alias("doc"), "subject", F.col("part").alias("mass"))).groupBy("doc", "subject").agg(F.sum("mass").alias("mass"))
             share = met.withColumn("share", F.col("mass") / F.sum("mass").over(Window.partitionBy("doc"))).where(F.col("share") >= self.reach).select("doc", "subject", "share")
             labels = checkpointed(self._clamped(share))

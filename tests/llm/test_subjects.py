@@ -29,8 +29,9 @@ def corpus(seed):
 
 @pytest.mark.parametrize("bound", [2_000_000, 0])
 def test_held_out_documents(spark, monkeypatch, bound):
-    """Terms broadcast, or joined by shuffle."""
+    """Terms and representatives' labels broadcast, or joined by shuffle."""
     monkeypatch.setattr(subjects, "TERM_ROWS", bound)
+    monkeypatch.setattr(subjects, "HUB_ROWS", bound)
     docs, labels, truth = corpus(4)
     fit = subjects.Subjects(spark.createDataFrame(docs, D), spark.createDataFrame(labels, "doc_id long, subject_key string"), spark.createDataFrame(AREAS, "subject_key string, title string, description string"), rounds=2)
     got = {(r.doc, r.subject_key) for r in fit.documents().collect()}
