@@ -235,3 +235,21 @@ def unsafe_keys(df: DataFrame, ident: str, maps: Iterable[str], barred: Iterable
         part = df.select(ident, F.lit(m).alias("column"), F.explode(F.map_keys(m)).alias("key")).where(F.lower("key").isin(*barred)).distinct()
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def definitions(nodes: DataFrame, relations: DataFrame, owner: str, key: str, term: str) -> tuple[DataFrame, DataFrame]:
+    """(inventory, graph) of defined terms.
+
+    inventory: owner, key, observed_term, normalized_term, uses, alternates: the nodes with a
+    term that references name as their definition, and in how many other places of the owner
+    the same term is defined. graph: source, owner, key, term: which node uses which
+    definition, each once. ``relations``: source, owner, key. Terms agree in upper case with
+    single blanks.
+    """
+    same = F.upper(F.trim(F.regexp_replace(F.col(term), r"\s+", " ")))
+    n = nodes.where(F.col(term).isNotNull() & (F.trim(F.col(term)) != "")).groupBy(owner, key).agg(F.min(term).alias("observed_term"), F.min(same).alias("normalized_term"))
+    links = relations.where("source is not null").select("source", owner, key).distinct()
+    graph = links.join(n, [owner, key]).select("source", owner, key, F.col("normalized_term").alias("term"))
+    found = n.join(graph.groupBy(owner, key).agg(F.count("*").alias("uses")), [owner, key])
+    places = found.groupBy(owner, "normalized_term").agg((F.count("*") - 1).alias("alternates"))
+    return found.join(places, [owner, "normalized_term"]).select(owner, key, "observed_term", "normalized_term", "uses", "alternates"), graph

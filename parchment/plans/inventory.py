@@ -113,5 +113,5 @@ def oracle_sql() -> dict[str, str]:
     views = "VALUES ('global', 1.0, 0.0, 0.0)" + "".join(f", ('{n}_{a}', {s}, {x}, {y})" for n, s in (("medium", 0.72), ("fine", 0.5)) for a, x, y in (("ul", 0.0, 0.0), ("ur", 1.0, 0.0), ("ll", 0.0, 1.0), ("lr", 1.0, 1.0), ("center", 0.5, 0.5)))
     q["view_boxes"] = f"WITH v(view, s, ax, ay) AS ({views}), p AS (SELECT p_partkey, p_size * 37 + 11 AS w, CAST(p_partkey % 900 + 5 AS INTEGER) AS h FROM part), c AS (SELECT *, greatest(1, CAST(round_even(CAST(w * s AS DOUBLE), 0) AS INTEGER)) AS cw, greatest(1, CAST(round_even(CAST(h * s AS DOUBLE), 0) AS INTEGER)) AS ch FROM p, v), x AS (SELECT *, CAST(round_even(CAST((w - cw) * ax AS DOUBLE), 0) AS INTEGER) AS x0, CAST(round_even(CAST((h - ch) * ay AS DOUBLE), 0) AS INTEGER) AS y0 FROM c) SELECT p_partkey, view, x0, y0, x0 + cw AS x1, y0 + ch AS y1 FROM x"
     q["text_stream"] = 'WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY loaded_at) AS rn FROM page_line) WHERE rn = 1), e AS (SELECT line_id, coalesce(length(text), 0) AS l, CAST(sum(coalesce(length(text), 0) + 1) OVER (PARTITION BY source_id ORDER BY line_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS "end" FROM p) SELECT line_id, "end" - l AS start, "end" FROM e'
-    q["term_mentions"] = "WITH t AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(label), '[a-z0-9]+'), ' ') AS term FROM source_text_section WHERE label IS NOT NULL), w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, array_to_string(list_slice(w, i.i, i.i + n.n - 1), ' ') AS term FROM w, unnest(range(1, len(w) + 1)) AS i(i), (SELECT unnest([1, 2, 3, 4]) AS n) n WHERE i.i + n.n - 1 <= len(w)) SELECT doc_id, term, count(*) AS mentions FROM g JOIN t USING (term) WHERE term <> '' GROUP BY ALL"
+    q["term_mentions"] = "WITH t AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(label), '[a-z0-9]+'), ' ') AS term FROM source_text_section WHERE label IS NOT NULL), w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, array_to_string(list_slice(w, i.i, i.i + n.n - 1), ' ') AS term FROM w, unnest(range(1, len(w) + 1)) AS i(i), (SELECT unnest(range(1, (SELECT max(len(string_split(term, ' '))) FROM t) + 1)) AS n) n WHERE i.i + n.n - 1 <= len(w)) SELECT doc_id, term, count(*) AS mentions FROM g JOIN t USING (term) WHERE term <> '' GROUP BY ALL"
     return q

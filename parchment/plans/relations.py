@@ -301,6 +301,11 @@ def oracle_sql() -> dict[str, str]:
     q["source_audit"] = f"WITH {_EV} SELECT source_id, count(*) AS blocks, concat_ws(',', CASE WHEN count(*) FILTER (text IS NULL OR text = '') > 0 THEN 'empty-text' END, CASE WHEN count(*) FILTER (bbox IS NULL) > 0 THEN 'missing-box' END, CASE WHEN count(*) FILTER (pdf_page IS NULL) > 0 THEN 'missing-page' END, CASE WHEN count(DISTINCT source_sha256) > 1 THEN 'several-artifacts' END) AS blockers FROM ev GROUP BY 1"
     h = lambda kind, x: f"'{kind}:' || substr(sha256('{kind}|' || {x}), 1, 24)"
     a, b = "source_artifact_id || '|' || source_key", "owner || '|' || key"
+    q["box_clusters"] = """WITH RECURSIVE pl AS (SELECT line_id, source_id, pdf_page, bbox[1] AS x0, bbox[2] AS y0, bbox[3] AS x1, bbox[4] AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY loaded_at) AS rn FROM page_line WHERE line_id IS NOT NULL) WHERE rn = 1 AND pdf_page IS NOT NULL AND bbox[1] IS NOT NULL),
+    near AS (SELECT a.line_id AS a, b.line_id AS b FROM pl a JOIN pl b ON a.source_id = b.source_id AND a.pdf_page = b.pdf_page AND a.x1 + 3 >= b.x0 AND b.x1 + 3 >= a.x0 AND a.y0 - 3 <= b.y1 AND b.y0 - 3 <= a.y1),
+    reached AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reached r JOIN near n ON r.b = n.a), named AS (SELECT a AS line_id, min(b) AS c FROM reached GROUP BY 1),
+    g AS (SELECT source_id, pdf_page, c, count(*) AS members, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM pl JOIN named USING (line_id) GROUP BY 1, 2, 3)
+    SELECT source_id, pdf_page, CAST(row_number() OVER (PARTITION BY source_id, pdf_page ORDER BY y0, x0, y1, x1) AS INTEGER) AS cluster, members, x0, y0, x1, y1 FROM g"""
     q["reference_components"] = f"""WITH RECURSIVE {_EG}, both_ways AS (SELECT source AS a, target AS b FROM eg UNION SELECT target, source FROM eg), reached AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reached r JOIN both_ways e ON r.other = e.a)
     SELECT node, min(other) AS component FROM reached GROUP BY node"""
     q["reference_cycles"] = f"""WITH RECURSIVE {_EG}, d AS (SELECT DISTINCT source, target FROM eg), reached AS (SELECT source AS a, target AS b FROM d UNION SELECT r.a, d.target FROM reached r JOIN d ON r.b = d.source)

@@ -128,6 +128,20 @@ def source_manifest(spark, d):
     return e.groupBy("source_id").agg(F.min("source_sha256").alias("sha256"), F.countDistinct("publication_key").alias("publications"), F.max("pdf_page").alias("last_page"), F.date_format(F.min("extracted_at"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("extracted_at"), "yyyy-MM-dd").alias("last_day"))
 
 
+def _definitions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = _sections(spark, d).select(F.col("artifact_id").alias("owner"), locator(F.col("locator")).alias("key"), "label")
+    r = table(spark, d, "reference_relation").where("relation_type = 'defined_in'").select(F.concat_ws("#", "source_artifact_id", locator(F.col("source_locator"))).alias("source"), F.col("target_artifact_id").alias("owner"), locator(F.col("target_locator")).alias("key"))
+    return st.definitions(n, r, "owner", "key", "label")
+
+
+def definition_inventory(spark, d):
+    return _definitions(spark, d)[0]
+
+
+def definition_graph(spark, d):
+    return _definitions(spark, d)[1]
+
+
 BARRED = ("text", "content", "source_text", "block_kind")
 
 
@@ -137,7 +151,7 @@ def unsafe_metadata(spark, d):
 
 _ALL = (
     page_order_inferred, page_lines_ordered, visual_lines, direct_blocks, table_clips, caption_detections, marker_roles, note_identities, annex_relations, section_findings, section_overlaps, page_findings, reference_diagnostics,
-    chapter_anchors, page_labels, meaning_spans, corpus_measures, source_manifest, unsafe_metadata,
+    chapter_anchors, page_labels, meaning_spans, corpus_measures, source_manifest, unsafe_metadata, definition_inventory, definition_graph,
 )
 
 
@@ -220,6 +234,11 @@ def oracle_sql() -> dict[str, str]:
     q["meaning_spans"] = f"WITH {', '.join(parts)} " + " UNION ".join(f'SELECT doc_id, type, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end" FROM {n}' for n in ("modal", *[f"{k}_" for k in st.MEANINGS]))
     q["corpus_measures"] = f"""WITH {_EV} SELECT publication_key, count(DISTINCT CASE WHEN source_id IS NOT NULL AND pdf_page IS NOT NULL THEN source_id || '#' || pdf_page END) AS pages, count(*) AS blocks, count(*) FILTER ({_KIND.format("coalesce(text, '')")} = 'table') AS tables, count(*) FILTER ({_KIND.format("coalesce(text, '')")} = 'figure') AS figures, count(*) FILTER (y0 IS NULL) AS without_box, round(quantile_cont(y1 - y0, 0.5), 3) AS middle_height FROM ev GROUP BY 1"""
     q["source_manifest"] = f"WITH {_EV} SELECT source_id, min(source_sha256) AS sha256, count(DISTINCT publication_key) AS publications, max(pdf_page) AS last_page, strftime(min(extracted_at), '%Y-%m-%d') AS first_day, strftime(max(extracted_at), '%Y-%m-%d') AS last_day FROM ev GROUP BY 1"
+    defs = f"""{_SEC}, n AS (SELECT artifact_id AS owner, {_LOC.format('locator')} AS key, min(label) AS observed_term, min(upper(trim(regexp_replace(label, '\\s+', ' ', 'g')))) AS normalized_term FROM sec WHERE trim(label) <> '' AND locator IS NOT NULL AND artifact_id IS NOT NULL GROUP BY 1, 2),
+    l AS (SELECT DISTINCT concat_ws('#', source_artifact_id, {_LOC.format('source_locator')}) AS source, target_artifact_id AS owner, {_LOC.format('target_locator')} AS key FROM reference_relation WHERE relation_type = 'defined_in'),
+    g AS (SELECT source, owner, key, normalized_term AS term FROM l JOIN n USING (owner, key)), f AS (SELECT owner, key, observed_term, normalized_term, count(*) AS uses FROM g JOIN n USING (owner, key) GROUP BY ALL)"""
+    q["definition_graph"] = f"WITH {defs} SELECT * FROM g"
+    q["definition_inventory"] = f"WITH {defs} SELECT *, count(*) OVER (PARTITION BY owner, normalized_term) - 1 AS alternates FROM f"
     barred = ", ".join(f"'{b}'" for b in BARRED)
     q["unsafe_metadata"] = " UNION ALL ".join(f"SELECT DISTINCT evidence_id, '{m}' AS \"column\", u.k AS key FROM (SELECT evidence_id, map_keys({m}) AS ks FROM evidence), unnest(ks) AS u(k) WHERE lower(u.k) IN ({barred})" for m in ("observed_metadata", "derived_metadata"))
     return q

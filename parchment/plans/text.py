@@ -81,9 +81,9 @@ def reading_order(spark, d):
 
 
 def spacing_repair_candidates(spark, d):
-    """Over part names, some of them with their words run together, as a scanner would."""
-    p = table(spark, d, "part")
-    return layout.spacing_repairs(p.select(F.when(F.col("p_size") == 7, F.translate("p_name", " ", "")).otherwise(F.col("p_name")).alias("text")))
+    """Over the documents, and over part names, some of them with their words run together, as a scanner would."""
+    p = table(spark, d, "part").select(F.when(F.col("p_size") == 7, F.translate("p_name", " ", "")).otherwise(F.col("p_name")).alias("text"))
+    return layout.spacing_repairs(table(spark, d, "documents").select("text").unionByName(p))
 
 
 def hyphenation_lexicon(spark, d):
@@ -140,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
     e AS (SELECT doc_id, n, hit, regexp_replace(hit, '^[^A-Za-z]', '') AS own, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY n) AS "end" FROM u)
     SELECT doc_id, lower(split_part(own, ' ', 1)) AS kind, split_part(own, ' ', 2) AS target, CAST("end" - length(own) AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end" FROM e"""
     pre = ", ".join(f"'{p}'" for p in layout.PREFIXES)
-    q["spacing_repair_candidates"] = f"""WITH t AS (SELECT regexp_extract_all(lower(CASE p_size WHEN 7 THEN replace(p_name, ' ', '') ELSE p_name END), '[a-z]+') AS t FROM part WHERE p_name IS NOT NULL), w AS (SELECT u.x AS token, count(*) AS n FROM t, unnest(t.t) AS u(x) WHERE length(u.x) >= 5 GROUP BY 1),
+    q["spacing_repair_candidates"] = f"""WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS t FROM (SELECT text FROM documents UNION ALL SELECT CASE p_size WHEN 7 THEN replace(p_name, ' ', '') ELSE p_name END FROM part) WHERE text IS NOT NULL), w AS (SELECT u.x AS token, count(*) AS n FROM t, unnest(t.t) AS u(x) WHERE length(u.x) >= 5 GROUP BY 1),
     p AS (SELECT t.t[u.i] AS l, t.t[u.i + 1] AS r, count(*) AS pairs FROM t, unnest(range(1, len(t.t))) AS u(i) GROUP BY 1, 2 HAVING pairs >= 2),
     s AS (SELECT token, n, token[1:u.i] AS l, token[u.i + 1:] AS r FROM w, unnest(range(2, length(token) - 1)) AS u(i)),
     k AS (SELECT s.token, s.l, s.r, p.pairs, least(length(s.l), length(s.r)) AS bal FROM s JOIN p USING (l, r) WHERE p.pairs >= 2 * s.n AND s.l NOT IN ({pre}))
