@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ids import text_sha256
 
@@ -97,6 +98,40 @@ def search_ranked(df: DataFrame, query: str, key: str, text: str = "text", k1: f
     return rows.withColumn("score", F.round(score, 6)).where("score > 0").select(key, "score")
 
 
+def postings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(term, key, tf, length): an index built once, so that a search reads only its own terms' rows. Term '' has a row for each text, with its length."""
+    t = df.select(key, _terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    words = t.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    return words.select("term", key, "tf", "length").unionByName(t.select(F.lit("").alias("term"), key, F.lit(0).cast("long").alias("tf"), F.size("t").alias("length")))
+
+
+def write_postings(index: DataFrame, path: str, parts: int = 256) -> None:
+    """The index as Parquet, in folders by the term's hash and sorted by term, so a term is one folder and few row groups."""
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    index.withColumn("part", part).repartition("part", F.pmod(F.xxhash64(*index.columns[1:2]), F.lit(8))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, query: str, parts: int = 256) -> DataFrame:
+    """The rows of an index that a query needs: the folders of its terms, and of the lengths."""
+    terms = ["", *dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower()))]
+    folders = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).collect()]
+    return spark.read.parquet(path).where(F.col("part").isin(*folders) & F.col("term").isin(*terms)).drop("part")
+
+
+def search_postings(index: DataFrame, query: str, key: str, k1: float = 1.4, b: float = 0.75) -> DataFrame:
+    """(key, score): BM25 from an index alone, without a phrase bonus; only the query's terms are shuffled."""
+    tokens = re.findall(r"[a-z0-9]+", query.lower())
+    own = index.where(F.col("term").isin("", *tokens))
+    seen = {r.term: r for r in own.groupBy("term").agg(F.count("*").alias("n"), F.avg("length").alias("avg")).collect()}
+    n, avg = (seen[""].n, max(seen[""].avg, 1e-9)) if "" in seen else (0, 1.0)
+    weight = F.lit(0.0)
+    for t in dict.fromkeys(tokens):
+        df = seen[t].n if t in seen else 0
+        weight = F.when(F.col("term") == t, F.lit(tokens.count(t) * math.log(1.0 + (n - df + 0.5) / (df + 0.5)))).otherwise(weight)
+    score = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(avg)))
+    return own.where("term <> ''").groupBy(key).agg(F.round(F.sum(score), 6).alias("score")).where("score > 0")
+
+
 def search_all_tokens_ranked(df: DataFrame, query: str, limit: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Rows that hold every token, scored by the classic BM25 whose idf isn't below 1e-6, in source order."""
     tokens = list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))

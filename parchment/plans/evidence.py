@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, locators
 from ..operators import evidence as ev
-from ..session import table
+from ..session import shared_folder, table
 
 PHRASE, TOKENS, SOURCE = "shall be", "exit handrail", "synthetic:standard:000000"
 
@@ -40,6 +42,13 @@ def search_bm25(spark, d):
     return ev.search_ranked(table(spark, d, "documents"), "exit stairway exit", "doc_id")
 
 
+def search_index(spark, d):
+    """Over an index of postings that is written first and read by its terms' folders."""
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    ev.write_postings(ev.postings(table(spark, d, "documents"), "doc_id"), path)
+    return ev.search_postings(ev.read_postings(spark, path, "exit stairway door"), "exit stairway door", "doc_id")
+
+
 def search_bm25_all(spark, d):
     return ev.search_all_tokens_ranked(_ev(spark, d), "exit door")
 
@@ -95,7 +104,7 @@ def publication_summary(spark, d):
     return _ev(spark, d).cube("publication_key", "extraction_method").agg(F.count("*").alias("blocks"), F.countDistinct("pdf_page").alias("pages")).select("publication_key", "extraction_method", "blocks", "pages")
 
 
-_ALL = (evidence_lines, evidence_ids, search_exact, search_phrase, search_token, search_bm25, search_bm25_all, context_expand, page_fetch, structural_flags, structural_search, grounding_packet, citation_check, page_bounds, page_coverage, block_text, publication_summary)
+_ALL = (evidence_lines, evidence_ids, search_exact, search_phrase, search_token, search_bm25, search_index, search_bm25_all, context_expand, page_fetch, structural_flags, structural_search, grounding_packet, citation_check, page_bounds, page_coverage, block_text, publication_summary)
 
 
 def queries() -> dict:
@@ -129,6 +138,7 @@ def oracle_sql() -> dict[str, str]:
     q["search_phrase"] = f"WITH {_EV} SELECT {_O}, CAST({_count('lower(text)', PHRASE)} AS DOUBLE) AS score, 'casefold_phrase_occurrence_count' AS score_method FROM ev WHERE contains(lower(text), '{PHRASE}')"
     q["search_token"] = f"WITH {_EV} SELECT {_O}, ({_count('lower(text)', 'exit')} + {_count('lower(text)', 'handrail')}) / 2.0::DOUBLE AS score, 'token_coverage_fallback' AS score_method FROM ev WHERE contains(lower(text), 'exit') AND contains(lower(text), 'handrail')"
     q["search_bm25"] = f"WITH {_bm25('documents', 'doc_id', ['exit', 'stairway', 'exit'], 1.4, 0.75, True)} SELECT doc_id, round(bm + CASE WHEN contains(' ' || array_to_string(t, ' ') || ' ', 'exit stairway exit') THEN 8.0 ELSE 0.0 END, 6) AS score FROM r WHERE round(bm, 6) > 0"
+    q["search_index"] = f"WITH {_bm25('documents', 'doc_id', ['exit', 'stairway', 'door'], 1.4, 0.75, True)} SELECT doc_id, round(bm, 6) AS score FROM r WHERE round(bm, 6) > 0"
     q["search_bm25_all"] = f"WITH {_EV}, {_bm25('ev', _O, ['exit', 'door'], 1.2, 0.75, False)} SELECT {_O}, round(greatest(bm, 0.0), 6) AS score, 'bm25' AS score_method FROM r WHERE list_contains(t, 'exit') AND list_contains(t, 'door')"
     win = "OVER (PARTITION BY source_id, pdf_page ORDER BY pdf_page, block_index, evidence_id ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)"
     q["context_expand"] = f"WITH {_EV} SELECT evidence_id, source_id, pdf_page, block_index, array_to_string(list(evidence_id) {win}, ',') AS context FROM ev WHERE pdf_page IS NOT NULL"
