@@ -296,7 +296,7 @@ class Subjects:
 
     def __init__(
         self, docs: DataFrame, labels: DataFrame, areas: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", lang: str | None = "lang", rounds: int = 3, repetitions: int = 8,
-        similarity: float = 0.05, again: float = 2.5, threshold: float = 1.5, purity: float = 0.6, least: int = 4, smooth: float = 2.0, reach: float = 0.004,
+        similarity: float = 0.05, again: float = 2.5, threshold: float = 1.5, purity: float = 0.6, least: int = 4, smooth: float = 2.0, reach: float = 0.001,
     ) -> None:
         """``again``: by how much the odds that a topical term is repeated exceed chance. ``reach``: share of a document's propagated labels from which a subject is a candidate."""
         keys = areas.select(subject_form(F.col("subject_key")).alias("name"), "subject_key", "title", "description").where("name is not null").dropDuplicates(["name"])
